@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, png_media, quality, sp_encode, toxicity
+from . import ann, langid, mixing, neardup, pii, png_media, quality, secrets, sp_encode, toxicity
 from ._common import documents
 
 
@@ -21,8 +21,12 @@ def model_path() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": lambda s, d: mixing.mix(documents(s, d)),
     "op2_language": lambda s, d: langid.language_of(documents(s, d)),
+    "op3_pii": lambda s, d: pii.surrogate_report(documents(s, d)),
     "op4_quality": lambda s, d: quality.quality_scores(documents(s, d), table(s, d, "labels")),
+    "op5_secrets": lambda s, d: secrets.secret_spans(documents(s, d)),
+    "op6_near_duplicates": lambda s, d: neardup.duplicate_classes(documents(s, d)),
     "op7_sentencepiece": lambda s, d: sp_encode.token_digests(documents(s, d), model_path()),
     "op8_media": lambda s, d: png_media.media_digests(documents(s, d)),
     "op9_toxicity": lambda s, d: toxicity.toxicity_scores(documents(s, d), table(s, d, "labels")),

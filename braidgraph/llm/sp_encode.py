@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ._common import ready
 
@@ -297,7 +297,7 @@ def tokenised(docs: DataFrame, model: str, keep: list[str]) -> DataFrame:
             cut = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("<i4")
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)), pa.array(text, pa.string())], names=[*keep, "ids", "decoded"])
 
-    schema = StructType([StructField(k, docs.schema[k].dataType) for k in keep]).add("ids", "array<int>").add("decoded", "string")
+    schema = StructType([StructField(k, docs.schema[k].dataType) for k in keep]).add("ids", ArrayType(IntegerType())).add("decoded", "string")
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
