@@ -78,10 +78,10 @@ def pav_output(g, windows, mode: Grouping, as_matrix: bool, threshold: float | N
     keys = ["chrom", "start", "end", "name"]
     if as_matrix:
         wide = pav.matrix(long.withColumn("pav", shown), order, ["wid", *keys]).orderBy("wid")
-        return ["\t".join(["#chrom", "start", "end", "name", *order]), *("\t".join(map(str, r[1:])) for r in wide.toLocalIterator())]
+        return ["\t".join(["chrom", "start", "end", "name", *order]), *("\t".join(map(str, r[1:])) for r in wide.toLocalIterator())]
     place = F.array_position(F.array(*[F.lit(o) for o in order]), F.col("grp"))
     rows = long.select("wid", *keys, "grp", shown.alias("pav"), place.alias("_g")).orderBy("wid", "_g")
-    return ["\t".join(["#chrom", "start", "end", "name", "group", "pav"]), *("\t".join(map(str, r[1:-1])) for r in rows.toLocalIterator())]
+    return ["\t".join(["chrom", "start", "end", "name", "group", "pav"]), *("\t".join(map(str, r[1:-1])) for r in rows.toLocalIterator())]
 
 
 def run(argv: list[str] | None = None, out=sys.stdout) -> int:
@@ -119,9 +119,13 @@ def run(argv: list[str] | None = None, out=sys.stdout) -> int:
         how = storage.about(spark, args.store)
         storage.save(append.add_haplotypes(g, kind, meta, steps, args.strict), args.out, how["rounds"], how["delta"])
     elif args.verb == "growth":
-        say("# mode\t" + Grouping.of(args.group_by).value)
+        mode = Grouping.of(args.group_by)
+        lines = growth.growth_lines(growth.growth(g, mode)).orderBy("k").collect()
+        say("# growth (count=node, coverage>=1, quorum>=0)")
+        say(f"# group-by={mode.value}")
+        say(f"# num_haplotypes={len(lines)} num_nodes={g.segments.count()}")
         say("k\tgrowth")
-        for r in growth.growth_lines(growth.growth(g, args.group_by)).orderBy("k").collect():
+        for r in lines:
             say(r["line"])
     elif args.verb == "summary":
         for r in stats.summary(g).collect():

@@ -39,13 +39,20 @@ def reference_names(g: PangenomeGraph) -> DataFrame:
     return names.groupBy("name").agg(F.min(F.struct("kind", "trav")).alias("s")).select("name", "s.kind", "s.trav")
 
 
-def resolved(bed: DataFrame, names: DataFrame, strict: bool = True) -> DataFrame:
-    """bed with kind and trav of each window's reference; an unknown one is an error, or is left out if not strict."""
-    found = bed.join(names.withColumnRenamed("name", "_ref"), F.col("chrom") == F.col("_ref"), "left")
-    if strict:
-        known = F.when(F.col("trav").isNull(), F.raise_error(F.concat(F.lit("BED reference path not found: "), F.col("chrom")))).otherwise(F.col("kind"))
-        return found.withColumn("kind", known).drop("_ref")
-    return found.where("trav is not null").drop("_ref")
+class UnknownReference(LookupError):
+    """A window names no path or walk."""
+
+
+def require_known(bed: DataFrame, names: DataFrame) -> None:
+    """Raise UnknownReference if a window's reference is not in names."""
+    row = bed.select("chrom").join(names, F.col("chrom") == F.col("name"), "left_anti").limit(1).collect()
+    if row:
+        raise UnknownReference("BED reference path not found: " + row[0]["chrom"])
+
+
+def resolved(bed: DataFrame, names: DataFrame) -> DataFrame:
+    """bed with kind and trav of each window's reference; windows of unknown ones go (see require_known)."""
+    return bed.join(names.withColumnRenamed("name", "_ref"), F.col("chrom") == F.col("_ref")).drop("_ref")
 
 
 def node_offsets(steps: DataFrame, segments: DataFrame, keys: list[str] = ("kind", "trav"), block: int = BLOCK) -> DataFrame:
@@ -89,9 +96,15 @@ def ratios(bed: DataFrame, hit: DataFrame, members: DataFrame, segments: DataFra
     return full.select("wid", "grp", num_.alias("num"), den_.alias("den"), F.when(den_ == 0, 0.0).otherwise(num_ / den_).alias("pav"))
 
 
-def pav(g: PangenomeGraph, bed: DataFrame, mode: Grouping | str = Grouping.PATH) -> DataFrame:
-    """wid, chrom, start, end, name, grp, num, den, pav of bed (wid, chrom, start, end, name) on a graph."""
-    at = resolved(bed, reference_names(g))
+def pav(g: PangenomeGraph, bed: DataFrame, mode: Grouping | str = Grouping.PATH, strict: bool = True) -> DataFrame:
+    """wid, chrom, start, end, name, grp, num, den, pav of bed (wid, chrom, start, end, name) on a graph.
+
+    With strict, a window on an unknown reference raises; else it is left out.
+    """
+    names = reference_names(g)
+    if strict:
+        require_known(bed, names)
+    at = resolved(bed, names)
     groups = slice_groups(g, mode)
     refs = at.select("kind", "trav").distinct()
     offsets = node_offsets(g.steps.join(refs, ["kind", "trav"], "left_semi"), g.segments)
