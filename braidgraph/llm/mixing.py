@@ -10,7 +10,7 @@ taken stay within about half a short document of the target, however the sizes a
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import staged, unstage, word_count
@@ -49,9 +49,15 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), c
     return table.select("_s", "_n", "source_size", F.least(F.col("_w") * level, most).alias("target"))
 
 
+def exact(x: Column) -> Column:
+    """The sum of doubles as decimals: the same in whatever order the rows come, so that reruns agree."""
+    return F.sum(x.cast("decimal(38,9)")).cast("double")
+
+
 def multipliers(cells: DataFrame, targets: DataFrame, cap: float, rounds: int = 60, close: float = 1e-10) -> DataFrame:
     """targets with _ref and _lam: the dual's solution by source, from cells (_s, _n, size, n)."""
-    shape = cells.where("size > 0").groupBy(*SRC).agg(F.min("size").alias("_min"), (F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("_ref"))
+    whole = F.col("size").cast("decimal(19,0)")
+    shape = cells.where("size > 0").groupBy(*SRC).agg(F.min("size").alias("_min"), (F.sum(F.col("n") * whole * whole).cast("double") / F.sum(F.col("n") * whole).cast("double")).alias("_ref"))
     s, t = F.col("source_size").cast("double"), F.col("target")
     free = (t > 0) & (t < s * cap * (1 - 1e-12))
     tight = F.col("_min") / F.col("_ref")
@@ -69,7 +75,7 @@ def multipliers(cells: DataFrame, targets: DataFrame, cap: float, rounds: int =
         x = F.col("size") / F.col("_ref")
         tilt = F.exp(F.least(F.col("_lam") * x, F.lit(700.0)))
         words = F.col("n") * F.col("size")
-        sums = cells.join(state.where(~F.col("_done")).select(*SRC, "_ref", "_lam"), SRC).groupBy(*SRC).agg(F.sum(words * F.least(tilt, F.lit(cap))).alias("_f"), F.sum(F.when(tilt < cap, words * x * tilt).otherwise(0.0)).alias("_h"))
+        sums = cells.join(state.where(~F.col("_done")).select(*SRC, "_ref", "_lam"), SRC).groupBy(*SRC).agg(exact(words * F.least(tilt, F.lit(cap))).alias("_f"), exact(F.when(tilt < cap, words * x * tilt).otherwise(0.0)).alias("_h"))
         gap = F.col("_f") - F.col("target")
         lo, hi = F.when(gap <= 0, F.col("_lam")).otherwise(F.col("_lo")), F.when(gap >= 0, F.col("_lam")).otherwise(F.col("_hi"))
         newton = F.col("_lam") - gap / F.col("_h")
