@@ -23,6 +23,16 @@ def compress(spark: SparkSession, path: str, store: str, rounds: int = DEFAULT_R
     storage.save(gfa.read_gfa(spark, path), store, rounds, delta)
 
 
+def compress_directory(spark: SparkSession, folder: str, out: str, rounds: int = DEFAULT_ROUNDS, delta: int = DEFAULT_DELTA) -> list[str]:
+    """Store every .gfa file of a folder (of any file system that Spark reads) under out; returns the stores."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().endswith(".gfa"))
+    for n in names:
+        compress(spark, f"{folder}/{n}", f"{out}/{n.removesuffix('.gfa')}", rounds, delta)
+    return [f"{out}/{n.removesuffix('.gfa')}" for n in names]
+
+
 def decompress(spark: SparkSession, store: str) -> PangenomeGraph:
     return storage.load(spark, store)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import packing
-from ..functions.staging import running_total
+from ..functions.staging import numbered, running_total
 
 
 def along(keys: list[str]) -> Window:
@@ -21,6 +21,25 @@ def delta(steps: DataFrame, keys: list[str], rounds: int = 1, value: str = "snod
     return out
 
 
+def flat_delta(rows: DataFrame, order: list[str], value: str) -> DataFrame:
+    """rows with value minus that of the row before in the whole order, across traversals; the first stays.
+
+    The rows are numbered range by range and meet their predecessors by number, so no task holds them all.
+    """
+    at = numbered(rows, order, "_n")
+    before = at.select((F.col("_n") + 1).alias("_n"), F.col(value).alias("_before"))
+    return at.join(before, "_n", "left").withColumn(value, F.col(value) - F.coalesce("_before", F.lit(0))).drop("_n", "_before")
+
+
+def largest_symbols(steps: DataFrame, keys: list[str], rounds: int, value: str = "snode") -> DataFrame:
+    """round, max_abs after 1 to `rounds` rounds of deltas (round 0: as they are, if no rounds are asked for)."""
+    table = [max_symbol(delta(steps, keys, r, value), value).select(F.lit(r).alias("round"), "max_abs") for r in (range(1, rounds + 1) if rounds else [0])]
+    out = table[0]
+    for t in table[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def undelta(steps: DataFrame, keys: list[str], rounds: int = 1, value: str = "snode", block: int = 65_536) -> DataFrame:
     """Running sums, `rounds` times: undoes delta. Long traversals are summed block by block."""
     out = steps

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import pansn, render
+from ..functions import packing, pansn, render
+from ..functions.staging import shared_dir
 from ..model import Grouping, PangenomeGraph
 from ..operators import append, extract, grammar, growth, pav, stats, traversal
-from ..sources import gfa
+from ..sources import appendix, bed, gfa, storage
 from . import oracle
 from .project import REFERENCE, Star
 
@@ -506,3 +508,141 @@ def verify_equal(s: Star) -> DataFrame:
     return stats.differences(a, b)
 
 
+
+
+# records and texts of other kinds
+
+
+def order_lines(s: Star, *fields: Column) -> DataFrame:
+    """A line for each order, fields joined by tabs, in order of the keys."""
+    return s.table("orders").select(F.lit("").alias("_f"), F.lit(0).alias("_b"), F.col("o_orderkey").alias("_m"), F.concat_ws("\t", *fields).alias("value"))
+
+
+def number(c: Column) -> Column:
+    return c.cast("string")
+
+
+def even_ids(s: Star) -> DataFrame:
+    """name, node_id of parts with an even id: the segments that jumps and containments can name."""
+    return s.segments().where("node_id % 2 = 0").select(number(F.col("node_id")).alias("name"), "node_id")
+
+
+O = F.col("o_orderkey")
+
+
+@query
+def header_scan(s: Star) -> DataFrame:
+    return gfa.parsed_header(order_lines(s, F.lit("H"), F.concat(F.lit("VN:Z:"), number(O))))
+
+
+@query
+def jump_parse(s: Star) -> DataFrame:
+    distance = F.when(O % 3 == 0, "*").otherwise(number(O))
+    lines = order_lines(s, F.lit("J"), number(O % 50 + 1), F.lit("+"), number(O % 7 + 1), F.lit("-"), distance, F.lit("SC:i:1"), F.lit("XX:Z:y"))
+    return gfa.parsed_jumps(lines, even_ids(s))
+
+
+@query
+def containment_parse(s: Star) -> DataFrame:
+    lines = order_lines(s, F.lit("C"), number(O % 50 + 1), F.lit("+"), number(O % 7 + 1), F.lit("-"), F.concat(number(O), F.lit("x")), F.lit("5M"), F.lit("ID:Z:q"))
+    return gfa.parsed_containments(lines, even_ids(s))
+
+
+@query
+def bed_parse(s: Star) -> DataFrame:
+    """Windows as text of six forms: whole, without a name, commented, blank, reversed, malformed."""
+    k = number(O)
+    forms = [F.concat(F.lit("c"), k, F.lit("\t5\t9\tn"), k), F.concat(F.lit("c"), k, F.lit("  7 8")), F.lit("# note"), F.lit(""), F.concat(F.lit("c"), k, F.lit(" 9 5 r")), F.concat(F.lit("c"), k, F.lit(" -1 5"))]
+    text = F.element_at(F.array(*forms), (O % 6 + 1).cast("int"))
+    return bed.parsed_bed(order_lines(s, text)).select(F.col("_m").alias("line_no"), "chrom", F.coalesce("start", F.lit(-1).cast("bigint")).alias("start"), F.coalesce("end", F.lit(-1).cast("bigint")).alias("end"), F.coalesce("name", F.lit("")).alias("name"), "ok")
+
+
+@query
+def appendix_check(s: Star) -> DataFrame:
+    """Which lines could be appended as paths or as walks."""
+    k = number(O + 1)
+    forms = [F.concat(F.lit("P\tp"), k, F.lit("\t1+,2-\t*")), F.concat(F.lit("P\tp"), k, F.lit("\t1+,0-\t*")), F.concat(F.lit("P\tp"), k, F.lit("\t1+,x-")), F.concat(F.lit("W\ts\t0\tq\t*\t*\t>"), k, F.lit("<3")), F.lit("W\ts\tx\tq\t*\t*\t>1"), F.lit("W\ts\t0\tq\t0\t5\t1>2")]
+    line = F.element_at(F.array(*forms), (O % 6 + 1).cast("int"))
+    return s.table("orders").select("o_orderkey", line.rlike(appendix.PATH).alias("is_path"), line.rlike(appendix.WALK).alias("is_walk"))
+
+
+@query
+def number_prefix(s: Star) -> DataFrame:
+    k = number(O)
+    text = F.element_at(F.array(k, F.concat(k, F.lit("abc")), F.concat(F.lit("-"), k), F.concat(F.lit("x"), k)), (O % 4 + 1).cast("int"))
+    return s.table("orders").select("o_orderkey", F.coalesce(gfa.leading_int(text), F.lit(-999).cast("bigint")).alias("n"))
+
+
+@query
+def tag_conflicts(s: Star) -> DataFrame:
+    """Tags of which some records have another type than the rest, or one that is unknown."""
+    part = s.table("part").select(F.create_map(F.lit("AA"), F.struct(F.when(F.col("p_size") > 10, "i").otherwise("Z").alias("type"), F.lit("1").alias("value")), F.lit("BB"), F.struct(F.lit("Z").alias("type"), F.lit("1").alias("value")), F.lit("CC"), F.struct(F.lit("q").alias("type"), F.lit("1").alias("value"))).alias("tags"))
+    return gfa.tag_conflicts(part).select("tag", F.array_join("types", ",").alias("types"))
+
+
+@query
+def render_streamed(s: Star) -> DataFrame:
+    """Lines in the order of the streamed layout: links before paths."""
+    return gfa.gfa_lines(part_graph(s), "streamed", names=False).groupBy("section").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count("*").alias("n"))
+
+
+@query
+def pav_lines(s: Star) -> DataFrame:
+    return pav.pav_lines(shares(s, Grouping.SAMPLE)).select("line")
+
+
+@query
+def walk_groups(s: Star) -> DataFrame:
+    return s.walks().select("sample_id", "seq_id", *(pansn.walk_key(F.col("sample_id"), F.col("hap_index"), F.col("seq_id"), m).alias(m.value.replace("-", "_")) for m in MODES))
+
+
+@query
+def flat_delta(s: Star) -> DataFrame:
+    """Differences across the whole table of part sizes, in order of the keys."""
+    return traversal.flat_delta(s.segments().select("node_id", "seq_len"), ["node_id"], "seq_len")
+
+
+@query
+def largest_symbols(s: Star) -> DataFrame:
+    return traversal.largest_symbols(without_kind(s.path_steps()), ["trav"], 3)
+
+
+@query
+def zigzag_values(s: Star) -> DataFrame:
+    d = traversal.delta(without_kind(s.path_steps()), ["trav"])
+    return d.select("trav", "pos", packing.zigzag(F.col("snode")).alias("z"), packing.varint_bytes(packing.zigzag(F.col("snode"))).cast("bigint").alias("n"))
+
+
+@query
+def unpacked_2mers(s: Star) -> DataFrame:
+    mers = traversal.two_mers(keyed(s), WALK)
+    key = packing.pack(F.col("a"), -F.col("b"))
+    return mers.select("user_id", "event_type", "pos", packing.unpack_first(key).alias("first"), packing.unpack_second(key).alias("second"))
+
+
+@query
+def used_rules(s: Star) -> DataFrame:
+    """Rules that a round of replacement used, in the order of their numbers."""
+    return one_round(s)[1].select("rule_id", "kmer", "first", "second")
+
+
+@query
+def rule_leaves(s: Star) -> DataFrame:
+    """Each rule written out: as many leaves as it stands for."""
+    table = grammar.leaves(one_round(s)[1])
+    return table.select("rule_id", F.size("leaf").cast("bigint").alias("n"), F.array_join(F.transform("leaf", lambda x: x.cast("string")), ",").alias("leaf"))
+
+
+@query
+def size_texts(s: Star) -> DataFrame:
+    n = O * O * 977
+    return s.table("orders").select("o_orderkey", packing.size_text(n).alias("size"))
+
+
+@query
+def store_roundtrip(s: Star) -> DataFrame:
+    """Paths of every 50th order, stored with coded traversals and read back."""
+    where = f"{shared_dir(s.spark)}/braid/{uuid.uuid4().hex}/store"
+    storage.save(part_graph(s), where, rounds=2, delta=1)
+    g = storage.load(s.spark, where)
+    return g.steps.where("kind = 'P'").join(g.paths, "trav").select("name", "pos", "snode")

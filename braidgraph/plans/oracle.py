@@ -178,6 +178,33 @@ PLAIN = {
     "varint_sizes": """with d as (select trav, snode - coalesce(lag(snode) over (partition by trav order by pos), 0) as d from pstep), z as (select trav, case when d < 0 then -2 * d - 1 else 2 * d end as z from d)
         select trav, count(*) as n, cast(sum(case when z < 128 then 1 when z < 16384 then 2 when z < 2097152 then 3 when z < 268435456 then 4 else 5 end) as bigint) as bytes from z group by trav""",
     "verify_equal": "select side, count(*) filter (where trav % 100 = 0) as n from pmeta, (values ('left'), ('right')) v(side) group by side",
+    "header_scan": "select 'H' || chr(9) || 'VN:Z:' || max(o_orderkey) as line from orders",
+    "jump_parse": """select row_number() over (order by o_orderkey) - 1 as jump_idx, o_orderkey % 50 + 1 as from_id, '+' as from_orient, o_orderkey % 7 + 1 as to_id, '-' as to_orient,
+        case when o_orderkey % 3 = 0 then '*' else cast(o_orderkey as varchar) end as distance, 'SC:i:1' || chr(9) || 'XX:Z:y' as rest from orders where (o_orderkey % 50 + 1) % 2 = 0 and (o_orderkey % 7 + 1) % 2 = 0""",
+    "containment_parse": """select row_number() over (order by o_orderkey) - 1 as containment_idx, o_orderkey % 50 + 1 as container_id, '+' as container_orient, o_orderkey % 7 + 1 as contained_id, '-' as contained_orient,
+        o_orderkey as pos, '5M' as overlap, 'ID:Z:q' as rest from orders where (o_orderkey % 50 + 1) % 2 = 0 and (o_orderkey % 7 + 1) % 2 = 0""",
+    "bed_parse": """select o_orderkey as line_no, 'c' || o_orderkey as chrom, cast(case f when 0 then 5 when 1 then 7 when 4 then 9 else -1 end as bigint) as "start", cast(case f when 0 then 9 when 1 then 8 else 5 end as bigint) as "end",
+        case f when 0 then 'n' || o_orderkey when 1 then 'c' || o_orderkey || ':7-8' when 4 then 'r' else '' end as name, f in (0, 1) as ok from (select o_orderkey, o_orderkey % 6 as f from orders) where f not in (2, 3)""",
+    "appendix_check": "select o_orderkey, o_orderkey % 6 = 0 as is_path, o_orderkey % 6 = 3 as is_walk from orders",
+    "number_prefix": "select o_orderkey, case o_orderkey % 4 when 2 then -o_orderkey when 3 then -999 else o_orderkey end as n from orders",
+    "tag_conflicts": "select 'AA' as tag, 'Z,i' as types where (select count(distinct p_size > 10) from part) = 2 union all select 'CC', 'q' where exists (select 1 from part)",
+    "render_streamed": f"""select 1 as section, min(line) as first_line, max(line) as last_line, count(*) as n from (select 'S' || chr(9) || (p_partkey + 1) || chr(9) || repeat('A', p_size) || chr(9) || 'BZ:Z:' || p_brand || chr(9) || 'PR:f:' || printf('%.6g', p_retailprice) || chr(9) || 'TY:Z:' || p_type as line from part)
+        union all select 2, min(line), max(line), count(*) from (select 'L' || chr(9) || abs(a) || chr(9) || case when a < 0 then '-' else '+' end || chr(9) || abs(b) || chr(9) || case when b < 0 then '-' else '+' end || chr(9) || '0M' as line from link where abs(a) % 10 = 0)
+        union all select 5, min(line), max(line), count(*) from (select 'P' || chr(9) || name || chr(9) || coalesce(toks, '') || chr(9) || '*' as line from pmeta left join (select trav, {P_TOKENS} as toks from pstep group by trav) using (trav) where trav % 50 = 0)""",
+    "pav_lines": f"""select b.chrom || chr(9) || b."start" || chr(9) || b."end" || chr(9) || b.name || chr(9) || r.grp || chr(9) || printf('%.5g', r.pav) as line from ({ratio('member', 'sample')}) r join bed b using (wid)""",
+    "walk_groups": "select sample_id, seq_id, sample_id as sample, sample_id || '#0' as sample_hap, sample_id || '#0#' || seq_id as sample_hap_seq from wmeta",
+    "flat_delta": "select node_id, len - coalesce(lag(len) over (order by node_id), 0) as seq_len from seg",
+    "largest_symbols": """with d1 as (select trav, pos, snode - coalesce(lag(snode) over (partition by trav order by pos), 0) as d from pstep),
+        d2 as (select trav, pos, d - coalesce(lag(d) over (partition by trav order by pos), 0) as d from d1), d3 as (select trav, pos, d - coalesce(lag(d) over (partition by trav order by pos), 0) as d from d2)
+        select 1 as round, max(abs(d)) as max_abs from d1 union all select 2, max(abs(d)) from d2 union all select 3, max(abs(d)) from d3""",
+    "zigzag_values": """with d as (select trav, pos, snode - coalesce(lag(snode) over (partition by trav order by pos), 0) as d from pstep), z as (select trav, pos, case when d < 0 then -2 * d - 1 else 2 * d end as z from d)
+        select trav, pos, z, cast(case when z < 128 then 1 when z < 16384 then 2 when z < 2097152 then 3 when z < 268435456 then 4 else 5 end as bigint) as n from z""",
+    "unpacked_2mers": "select user_id, event_type, pos, a as first, -b as second from mer",
+    "used_rules": f"with {ROUND_ALL} select rule_id, kmer, first, second from rules",
+    "rule_leaves": f"with {ROUND_ALL} select rule_id, cast(2 as bigint) as n, first || ',' || second as leaf from rules",
+    "size_texts": """select o_orderkey, case when n < 1024 then n || ' B' when n < 1048576 then printf('%.2f KB', n / 1024.0) when n < 1073741824 then printf('%.2f MB', n / 1048576.0) else printf('%.2f GB', n / 1073741824.0) end as size
+        from (select o_orderkey, o_orderkey * o_orderkey * 977 as n from orders)""",
+    "store_roundtrip": "select name, pos, snode from pstep join pmeta using (trav) where trav % 50 = 0",
 }
 
 SQL = {name: full(sql) for name, sql in PLAIN.items()}

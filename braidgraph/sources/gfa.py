@@ -126,6 +126,11 @@ def parsed_containments(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return numbered(known, ORDER, "containment_idx").select("containment_idx", "container_id", "container_orient", "contained_id", "contained_orient", "pos", "overlap", "rest")
 
 
+def parsed_header(lines: DataFrame) -> DataFrame:
+    """The last header line, whole; no row if there is none."""
+    return lines.where("value like 'H%'").agg(F.max_by("value", F.struct(*ORDER)).alias("line")).where("line is not null")
+
+
 def graph_of(lines: DataFrame, strict: bool = True) -> PangenomeGraph:
     """The graph in lines (_f, _b, _m, value). Steps, links and the like that name no segment are dropped.
 
@@ -147,8 +152,7 @@ def graph_of(lines: DataFrame, strict: bool = True) -> PangenomeGraph:
         at = rows.where("step is not null").join(tables[kind].select(*ORDER, "trav"), ORDER)
         steps.append(resolve(at, ids, "step", "node_id").select(F.lit(kind).alias("kind"), "trav", F.col("pos").cast("bigint").alias("pos"), signed(F.col("node_id"), F.col("reverse")).alias("snode")))
         tables[kind] = tables[kind].select("trav", *columns)
-    header = lines.where("value like 'H%'").agg(F.max_by("value", F.struct(*ORDER)).alias("line")).where("line is not null")
-    return PangenomeGraph(segments, steps[0].unionByName(steps[1]), tables["P"], tables["W"], links, parsed_jumps(lines, ids), parsed_containments(lines, ids), header)
+    return PangenomeGraph(segments, steps[0].unionByName(steps[1]), tables["P"], tables["W"], links, parsed_jumps(lines, ids), parsed_containments(lines, ids), parsed_header(lines))
 
 
 def read_gfa(spark: SparkSession, path: str, strict: bool = True) -> PangenomeGraph:

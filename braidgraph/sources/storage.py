@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import SCHEMAS, PangenomeGraph
@@ -15,21 +15,27 @@ class BadContainer(ValueError):
     """A folder that is no stored graph of this version."""
 
 
-def save(g: PangenomeGraph, path: str, rounds: int = 0, delta: int = 1) -> None:
+def zstd(table: DataFrame, level: int) -> DataFrameWriter:
+    return table.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level))
+
+
+def save(g: PangenomeGraph, path: str, rounds: int = 0, delta: int = 1, level: int = 9) -> None:
     """Write all tables; with rounds > 0 the steps are stored coded, with their rules.
 
-    Steps are sorted by traversal, so that readers of a few traversals skip most row groups.
+    Steps are sorted by traversal, so that readers of a few traversals skip most row groups. level: of Zstd, 1 to 22.
     """
+    if not 1 <= level <= 22:
+        raise ValueError("Zstd level outside 1..22")
     spark = g.segments.sparkSession
     spark.createDataFrame([(FORMAT, VERSION, rounds, delta)], "format string, version int, rounds int, delta int").coalesce(1).write.json(f"{path}/_about")
     for name, table in g.tables().items():
         if name == "steps" and rounds:
             coded, rules = grammar.encode(table, ["kind", "trav"], rounds, delta)
-            rules.write.option("compression", "zstd").parquet(f"{path}/rules")
+            zstd(rules, level).parquet(f"{path}/rules")
             table = coded
         if name == "steps":
             table = table.repartitionByRange("kind", "trav", "pos").sortWithinPartitions("kind", "trav", "pos")
-        table.write.option("compression", "zstd").parquet(f"{path}/{name}")
+        zstd(table, level).parquet(f"{path}/{name}")
 
 
 def about(spark: SparkSession, path: str) -> dict:

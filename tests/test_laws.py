@@ -115,7 +115,7 @@ def test_packing(spark):
 
 
 def test_general_numbers(spark):
-    values = [0.0, 1.0, 0.83333333, 0.75, 123456.789, 1234567.0, 0.0001234567, 0.00001234, 900.1, 1e-10, 2.5e20, 100000.0, 999999.5, 0.1 + 0.2, 10.0]
+    values = [0.0, 1.0, 0.83333333, 0.75, 123456.789, 1234567.0, 0.0001234567, 0.00001234, 900.1, 1e-10, 2.5e20, 0.453125, 0.890625, 0.123455, 0.00390625, 0.0123455, 0.00012207, 13 / 32, 29 / 64, 0.999994, 1 / 3, 2 / 7 / 100, 100000.0, 999999.5, 0.1 + 0.2, 10.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for digits in (5, 6):
         for r in df.select("v", render.general(F.col("v"), digits).alias("t")).collect():
