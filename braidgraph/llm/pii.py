@@ -213,7 +213,9 @@ def again_of(words: Column) -> Column:
 def analysed(docs: DataFrame, key: str) -> DataFrame:
     """docs as the struct `row` with `found` (array of kind, entity, surrogate in the order of the text) and `clean`."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
-    first = rows.withColumn("hits", F.coalesce(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>")))
+    # all kinds but names hold a digit or an at sign, so most texts need two cheap tests only
+    maybe = F.col("text").rlike("[0-9@]") | F.col("text").rlike(KINDS["name"])
+    first = rows.withColumn("hits", F.when(maybe, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
     names = F.filter("hits", lambda m: m.rlike(f"^{CUE}"))
     words = F.array_distinct(F.filter(F.flatten(F.transform(names, lambda m: F.split(F.regexp_replace(m, f"^{CUE}", ""), " "))), lambda w: (F.length(w) > 2) & ~w.rlike(r"\\E")))
     some = first.withColumn("words", F.when(F.size("hits") > 0, words).otherwise(F.array().cast("array<string>")))
