@@ -149,7 +149,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
     doc_id are told apart by place only, so any of them may get the extra copy; all rows come back. An empty table
     gives an empty result; extra columns are ignored.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    # the texts are read once: what follows works on three narrow columns
+    rows = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     out = with_copies(rows, "source", "size", ["doc_id"], weights, cap)
     return out.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "rate", "copies")
 
