@@ -187,7 +187,8 @@ def element_sets(docs: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "x"])
 
     rows = docs.where("text is not null").select(text_node(F.col("text"), salt).alias("node"), "text").mapInArrow(run, "node long, x binary")
-    return rows.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("x").alias("x"))
+    # equal texts have equal sets: they are brought together before the exchange, then the filter's false hits go
+    return rows.groupBy("node").agg(F.min("x").alias("x")).join(nodes.select("node").distinct(), "node", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
