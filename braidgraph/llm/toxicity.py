@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from . import linear
 from ._common import fold, ready, unit_hash
 from .quality import hash_order
+from .textfeat import mix64
 
 
 @dataclass
@@ -84,6 +85,21 @@ def risk_steps(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, round
     return Model(weights, float(b))
 
 
+def distinct(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """rows without near copies: of those that share their two smallest feature hashes, the first.
+
+    A text copied many times would make its own words look like words of its class.
+    """
+    seen: set[tuple[int, ...]] = set()
+    out = []
+    for r in rows:
+        key = tuple(np.sort(mix64(r.astype(np.uint64)))[:2].tolist())
+        if key not in seen:
+            seen.add(key)
+            out.append(r)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 4000, most_unlabelled: int = 12000, seed: int = 9) -> Model:
     """Train on at most `most` confirmed positives and `most_unlabelled` texts of any standing, chosen by hash of doc_id.
 
@@ -101,7 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 40
     got = linear.featured(texts, ["doc_id", "u", "y"], pairs=False).toArrow().to_pylist()
     got.sort(key=lambda r: (hash_order(r["doc_id"], seed), r["x"]))
     x = [np.frombuffer(r["x"], "<i4").astype(np.int64) for r in got]
-    return risk_steps([a for a, r in zip(x, got, strict=True) if r["y"]], [a for a, r in zip(x, got, strict=True) if r["u"]], n[1] / max(1, n[0]))
+    positive, unlabelled = ([a for a, r in zip(x, got, strict=True) if r[c]] for c in ("y", "u"))
+    return risk_steps(distinct(positive), distinct(unlabelled), n[1] / max(1, n[0]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, out: int = 0, at: float = 0.5) -> DataFrame:
