@@ -15,11 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ._common import ready
 
 #: Rows of a query group, of a candidate group, and of the tiles inside a cell.
-QUERY_GROUP, CANDIDATE_GROUP, TILE = 2048, 32768, 2048
+#: Rows are sent once for each group of the other side, so equal groups send least for the memory that a cell may take.
+QUERY_GROUP, CANDIDATE_GROUP, TILE = 16_384, 16_384, 2_048
 #: A sum of int8 products is exact in float32 up to this many dimensions.
 EXACT_FLOAT32 = (1 << 24) // (127 * 127)
 
@@ -93,10 +95,13 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embedding",
     """
     spark = vectors.sparkSession
     ready(spark)
-    v = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v"))
+    # single precision travels as it is and is widened in the cells
+    kind = vectors.schema[vec].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    v = vectors.select(F.col(vec_id).cast("long").alias("id"), (F.col(vec) if single else F.col(vec).cast("array<double>")).alias("v")).where(F.col("id").isNotNull() & usable("v"))
     asks = v.where(F.col("id") % every == 0).withColumn("key", F.xxhash64("v")).dropDuplicates(["id", "key"])
-    n = v.count()
-    nq, nc = max(1, -(-n // (every * QUERY_GROUP))), max(1, -(-n // CANDIDATE_GROUP))
+    n, m = v.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
+    nq, nc = max(1, -(-m // QUERY_GROUP)), max(1, -(-n // CANDIDATE_GROUP))
     spread = lambda groups, seed: F.pmod(F.xxhash64("id", "v", F.lit(seed)), F.lit(groups)).cast("int")
     # each query goes to every candidate group and each candidate to every query group: the grid's cells
     left = asks.select("id", "key", "v", F.size("v").alias("dim"), spread(nq, 1).alias("gq"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("gc"))
@@ -106,7 +111,7 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embedding",
         rows: list[tuple[int, int, int, float]] = []
         if ask.num_rows and have.num_rows:
             dim = ask["dim"][0].as_py()
-            q, c = (t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for t in (ask, have))
+            q, c = (t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64) for t in (ask, have))
             rows = cell(ask["id"].to_numpy(), ask["key"].to_numpy(), q, have["id"].to_numpy(), c, k)
         cols = list(zip(*rows, strict=True)) or [[], [], [], []]
         return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "key", "vec_id", "score"])
