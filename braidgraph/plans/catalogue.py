@@ -527,49 +527,50 @@ def even_ids(s: Star) -> DataFrame:
     return s.segments().where("node_id % 2 = 0").select(number(F.col("node_id")).alias("name"), "node_id")
 
 
-O = F.col("o_orderkey")
+def order() -> Column:
+    return F.col("o_orderkey")
 
 
 @query
 def header_scan(s: Star) -> DataFrame:
-    return gfa.parsed_header(order_lines(s, F.lit("H"), F.concat(F.lit("VN:Z:"), number(O))))
+    return gfa.parsed_header(order_lines(s, F.lit("H"), F.concat(F.lit("VN:Z:"), number(order()))))
 
 
 @query
 def jump_parse(s: Star) -> DataFrame:
-    distance = F.when(O % 3 == 0, "*").otherwise(number(O))
-    lines = order_lines(s, F.lit("J"), number(O % 50 + 1), F.lit("+"), number(O % 7 + 1), F.lit("-"), distance, F.lit("SC:i:1"), F.lit("XX:Z:y"))
+    distance = F.when(order() % 3 == 0, "*").otherwise(number(order()))
+    lines = order_lines(s, F.lit("J"), number(order() % 50 + 1), F.lit("+"), number(order() % 7 + 1), F.lit("-"), distance, F.lit("SC:i:1"), F.lit("XX:Z:y"))
     return gfa.parsed_jumps(lines, even_ids(s))
 
 
 @query
 def containment_parse(s: Star) -> DataFrame:
-    lines = order_lines(s, F.lit("C"), number(O % 50 + 1), F.lit("+"), number(O % 7 + 1), F.lit("-"), F.concat(number(O), F.lit("x")), F.lit("5M"), F.lit("ID:Z:q"))
+    lines = order_lines(s, F.lit("C"), number(order() % 50 + 1), F.lit("+"), number(order() % 7 + 1), F.lit("-"), F.concat(number(order()), F.lit("x")), F.lit("5M"), F.lit("ID:Z:q"))
     return gfa.parsed_containments(lines, even_ids(s))
 
 
 @query
 def bed_parse(s: Star) -> DataFrame:
     """Windows as text of six forms: whole, without a name, commented, blank, reversed, malformed."""
-    k = number(O)
+    k = number(order())
     forms = [F.concat(F.lit("c"), k, F.lit("\t5\t9\tn"), k), F.concat(F.lit("c"), k, F.lit("  7 8")), F.lit("# note"), F.lit(""), F.concat(F.lit("c"), k, F.lit(" 9 5 r")), F.concat(F.lit("c"), k, F.lit(" -1 5"))]
-    text = F.element_at(F.array(*forms), (O % 6 + 1).cast("int"))
+    text = F.element_at(F.array(*forms), (order() % 6 + 1).cast("int"))
     return bed.parsed_bed(order_lines(s, text)).select(F.col("_m").alias("line_no"), "chrom", F.coalesce("start", F.lit(-1).cast("bigint")).alias("start"), F.coalesce("end", F.lit(-1).cast("bigint")).alias("end"), F.coalesce("name", F.lit("")).alias("name"), "ok")
 
 
 @query
 def appendix_check(s: Star) -> DataFrame:
     """Which lines could be appended as paths or as walks."""
-    k = number(O + 1)
+    k = number(order() + 1)
     forms = [F.concat(F.lit("P\tp"), k, F.lit("\t1+,2-\t*")), F.concat(F.lit("P\tp"), k, F.lit("\t1+,0-\t*")), F.concat(F.lit("P\tp"), k, F.lit("\t1+,x-")), F.concat(F.lit("W\ts\t0\tq\t*\t*\t>"), k, F.lit("<3")), F.lit("W\ts\tx\tq\t*\t*\t>1"), F.lit("W\ts\t0\tq\t0\t5\t1>2")]
-    line = F.element_at(F.array(*forms), (O % 6 + 1).cast("int"))
+    line = F.element_at(F.array(*forms), (order() % 6 + 1).cast("int"))
     return s.table("orders").select("o_orderkey", line.rlike(appendix.PATH).alias("is_path"), line.rlike(appendix.WALK).alias("is_walk"))
 
 
 @query
 def number_prefix(s: Star) -> DataFrame:
-    k = number(O)
-    text = F.element_at(F.array(k, F.concat(k, F.lit("abc")), F.concat(F.lit("-"), k), F.concat(F.lit("x"), k)), (O % 4 + 1).cast("int"))
+    k = number(order())
+    text = F.element_at(F.array(k, F.concat(k, F.lit("abc")), F.concat(F.lit("-"), k), F.concat(F.lit("x"), k)), (order() % 4 + 1).cast("int"))
     return s.table("orders").select("o_orderkey", F.coalesce(gfa.leading_int(text), F.lit(-999).cast("bigint")).alias("n"))
 
 
@@ -635,7 +636,7 @@ def rule_leaves(s: Star) -> DataFrame:
 
 @query
 def size_texts(s: Star) -> DataFrame:
-    n = O * O * 977
+    n = order() * order() * 977
     return s.table("orders").select("o_orderkey", packing.size_text(n).alias("size"))
 
 
