@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,8 +27,8 @@ from ._common import ready
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # piece types, fixed by the model format
-#: Entries that a worker keeps of encoded parts and of checked token pairs before it starts afresh.
-CACHE = 300_000
+#: Encoded parts that a worker keeps in each of two generations, and a quarter of the token pairs that it keeps.
+CACHE = 200_000
 
 
 @dataclass
@@ -122,7 +123,9 @@ class Coder:
                     break
         self.right: dict[int, list] = {}
         self.left: dict[int, list] = {}
+        self.alphabet = frozenset(p for p in self.ids if len(p) == 1)
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         # blanks, marks, then word characters: no piece spans the end of such a part, nor a line end that is no piece
         join = re.escape(t.joiners)
@@ -177,28 +180,36 @@ class Coder:
 
     def backtrack(self, s: str) -> list[int]:
         """Tokens of s, all of whose characters are pieces."""
-        longest = [0] * len(s)
+        size, length, shorter, pairs, base = len(s), self.length, self.shorter, self.pairs, len(self.length)
+        longest = [0] * size
         for end, (n, i) in self.find.iter(s):
             longest[end - n + 1] = i
         out: list[int] = []
-        failed, at, token = 0, 0, longest[0]
+        failed, at, token, last = 0, 0, longest[0], -1
         while True:
-            end = at + self.length[token]
-            if not failed >> end & 1 and (not out or self.fits(out[-1], token)):
+            end = at + length[token]
+            good = not failed >> end & 1
+            if good and last >= 0:
+                good = pairs.get(last * base + token)
+                if good is None:
+                    good = self.fits(last, token)
+            if good:
                 out.append(token)
-                at = end
-                if at == len(s):
+                if end == size:
                     return out
-                token = longest[at]
-            elif token in self.shorter:
-                token = self.shorter[token]
+                at, last, token = end, token, longest[end]
+            elif token in shorter:
+                token = shorter[token]
             else:
                 failed |= 1 << at
                 token = out.pop()
-                at -= self.length[token]
+                at -= length[token]
+                last = out[-1] if out else -1
 
     def part(self, s: str) -> bytes:
         out: list[int] = []
+        if self.alphabet.issuperset(s) and SPACE * 2 not in s:
+            return array("I", self.backtrack(s)).tobytes()
         if SPACE * 2 in s:
             for p in merged(s, self.t, self.ids):
                 out += [self.ids[p]] if p in self.ids else [self.byte[b] for b in p.encode()]
@@ -212,7 +223,7 @@ class Coder:
                     at = i + 1
             if at < len(s):
                 out += self.backtrack(s[at:])
-        return np.array(out, "<u4").tobytes()
+        return array("I", out).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of the whole text with the begin and end ids."""
@@ -224,11 +235,15 @@ class Coder:
         try:
             body = b"".join([parts[u] for u in units])
         except KeyError:
-            if len(parts) >= CACHE:
-                parts.clear()
+            if len(parts) >= CACHE:  # what was used since stays, the rest goes the next time
+                self.older, self.parts = parts, {}
+                parts, older = self.parts, self.older
+            else:
+                older = self.older
             for u in units:
                 if u not in parts:
-                    parts[u] = self.part(u) if u else b""
+                    code = older.get(u)
+                    parts[u] = (self.part(u) if u else b"") if code is None else code
             body = b"".join([parts[u] for u in units])
         return np.concatenate([[self.t.bos], np.frombuffer(body, "<u4"), [self.t.eos]]).astype("<u4")
 
