@@ -31,9 +31,12 @@ class Star:
 
     def path_steps(self) -> DataFrame:
         """kind, trav, pos, snode."""
-        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
         node = F.col("l_partkey") + 1
-        return self.table("lineitem").select(F.lit("P").alias("kind"), F.col("l_orderkey").alias("trav"), (F.row_number().over(w) - 1).cast("bigint").alias("pos"), F.when(F.col("l_returnflag") == "R", -node).otherwise(node).alias("snode"))
+        order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+        # renamed before the window, so that what follows along a traversal finds the rows partitioned already
+        lines = self.table("lineitem").select(F.col("l_orderkey").alias("trav"), F.when(F.col("l_returnflag") == "R", -node).otherwise(node).alias("snode"), *order)
+        w = Window.partitionBy("trav").orderBy(*order)
+        return lines.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint")).select(F.lit("P").alias("kind"), "trav", "pos", "snode")
 
     def paths(self) -> DataFrame:
         """trav, name, overlaps."""
@@ -50,7 +53,7 @@ class Star:
 
     def walk_steps(self) -> DataFrame:
         """kind, trav, pos, snode."""
-        w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
+        w = Window.partitionBy("trav").orderBy("event_id")
         return self.events().select(F.lit("W").alias("kind"), "trav", (F.row_number().over(w) - 1).cast("bigint").alias("pos"), F.col("node_id").alias("snode"))
 
     def walks(self) -> DataFrame:
