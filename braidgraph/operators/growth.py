@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pansn
+from ..functions.staging import staged
 from ..model import Grouping, PangenomeGraph
 
 #: Up to so many groups the curve is a product of ratios; beyond, sums of logarithms (the product would take N steps a cell).
@@ -52,26 +53,24 @@ def coverage_histogram(coverage: DataFrame, groups: DataFrame) -> DataFrame:
 def growth_curve(histogram: DataFrame) -> DataFrame:
     """k, growth: expected number of nodes in k of the N groups drawn at random.
 
-    A node in c groups is missed by all k draws with probability C(N - k, c) / C(N, c).
+    A node in c groups is missed by all k draws with probability C(N - k, c) / C(N, c). The histogram, one row for each
+    number of groups, is computed once and kept; all that follows is as small.
     """
-    held = histogram.where("c > 0 and n_nodes > 0")
-    total = histogram.agg(F.max("c").alias("n"))
-    cells = held.join(F.broadcast(total), F.lit(True)).select("c", "n_nodes", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
-    c, n, k = F.col("c"), F.col("n"), F.col("k")
-    ratio = lambda i: (n - k - i).cast("double") / (n - i)
-    product = F.aggregate(F.sequence(F.lit(0).cast("long"), c - 1), F.lit(1.0), lambda acc, i: acc * ratio(i))
-    some = F.when((c >= n) | (n - c < k), 1.0).otherwise(1.0 - product)
-    few = cells.where(n <= EXACT_GROUPS).select("k", (F.col("n_nodes") * some).alias("x"))
-    # beyond: log C(N-k, c) - log C(N, c) from running sums of logarithms, one row for each number up to N
-    big = total.where(F.col("n") > EXACT_GROUPS).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("m"))
-    fact = big.select("m", F.sum(F.when(F.col("m") > 0, F.log(F.greatest("m", F.lit(1)))).otherwise(0.0)).over(Window.orderBy("m")).alias("f"))
-    far = cells.where(n > EXACT_GROUPS)
-    for name, at in (("f1", n - k), ("f2", n - c), ("f3", n - k - c), ("f4", n)):
-        far = far.join(fact.select(F.col("m").alias(f"m_{name}"), F.col("f").alias(name)), F.greatest(at, F.lit(0)) == F.col(f"m_{name}"))
-    logs = 1.0 - F.exp(F.col("f1") + F.col("f2") - F.col("f3") - F.col("f4"))
-    many = far.select("k", (F.col("n_nodes") * F.when((c >= n) | (n - c < k), 1.0).otherwise(logs)).alias("x"))
-    sums = few.unionByName(many).groupBy("k").agg(F.sum("x").alias("growth"))
-    ks = total.select(F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("n", F.lit(1).cast("long")))).alias("k"), "n").where("n > 0")
+    histogram = staged(histogram, "histogram")
+    total = histogram.agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+    n, ks = F.lit(total), histogram.sparkSession.range(1, total + 1, numPartitions=1).withColumnRenamed("id", "k")
+    c, k = F.col("c"), F.col("k")
+    cells = histogram.where("c > 0 and n_nodes > 0").select("c", "n_nodes", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long"))).alias("k"))
+    if total <= EXACT_GROUPS:
+        ratio = lambda i: (n - k - i).cast("double") / (n - i)
+        missed = F.aggregate(F.sequence(F.lit(0).cast("long"), c - 1), F.lit(1.0), lambda acc, i: acc * ratio(i))
+    else:  # log C(N-k, c) - log C(N, c) from running sums of logarithms, one row for each number up to N
+        fact = histogram.select(F.col("c").alias("m"), F.sum(F.log(F.greatest("c", F.lit(1)).cast("double"))).over(Window.orderBy("c")).alias("f"))
+        for name, at in (("f1", n - k), ("f2", n - c), ("f3", n - k - c), ("f4", n)):
+            cells = cells.join(fact.select(F.col("m").alias(f"m_{name}"), F.col("f").alias(name)), F.greatest(at, F.lit(0)) == F.col(f"m_{name}"))
+        missed = F.exp(F.col("f1") + F.col("f2") - F.col("f3") - F.col("f4"))
+    some = F.when((c >= n) | (n - c < k), 1.0).otherwise(1.0 - missed)
+    sums = cells.groupBy("k").agg(F.sum(F.col("n_nodes") * some).alias("growth"))
     return ks.join(sums, "k", "left").select("k", F.coalesce("growth", F.lit(0.0)).alias("growth"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pansn
 from ..functions.render import general
+from ..functions.staging import staged
 from ..model import Grouping, PangenomeGraph
 
 #: Steps of a traversal that are summed in one go, and bases of a bin of the interval join.
@@ -104,13 +105,13 @@ def pav(g: PangenomeGraph, bed: DataFrame, mode: Grouping | str = Grouping.PATH,
     names = reference_names(g)
     if strict:
         require_known(bed, names)
-    at = resolved(bed, names)
+    at = staged(resolved(bed, names), "windows")  # a list of windows is small beside the graph, and is read in several places
     groups = slice_groups(g, mode)
     refs = at.select("kind", "trav").distinct()
     offsets = node_offsets(g.steps.join(refs, ["kind", "trav"], "left_semi"), g.segments)
     members = g.steps.select("kind", "trav", F.abs("snode").alias("node_id")).join(groups, ["kind", "trav"]).select("grp", "node_id").distinct()
     out = ratios(at, overlaps(at, offsets), members, g.segments, groups)
-    return bed.select("wid", "chrom", "start", "end", "name").join(out, "wid")
+    return at.select("wid", "chrom", "start", "end", "name").join(out, "wid")
 
 
 def binary(long: DataFrame, threshold: float) -> DataFrame:

@@ -39,7 +39,8 @@ def test_growth_is_mean_over_subsets(spark):
 
 
 def test_growth_of_many_groups(spark, monkeypatch):
-    hist = spark.createDataFrame([(0, 3), (1, 5), (4, 2), (9, 7), (40, 1)], "c bigint, n_nodes bigint")
+    counts = {0: 3, 1: 5, 4: 2, 9: 7, 40: 1}
+    hist = spark.createDataFrame([(c, counts.get(c, 0)) for c in range(41)], "c bigint, n_nodes bigint")
     exact = [r.growth for r in growth.growth_curve(hist).orderBy("k").collect()]
     monkeypatch.setattr(growth, "EXACT_GROUPS", 3)
     logs = [r.growth for r in growth.growth_curve(hist).orderBy("k").collect()]
