@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import packing, pansn, render
-from ..functions.staging import shared_dir
+from ..functions.staging import shared_dir, staged
 from ..model import Grouping, PangenomeGraph
 from ..operators import append, extract, grammar, growth, pav, stats, traversal
 from ..sources import appendix, bed, gfa, storage
 from . import oracle
-from .project import REFERENCE, Star
+from .project import Star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL = oracle.SQL
@@ -141,13 +141,9 @@ def pansn_parse_pav(s: Star) -> DataFrame:
 # presence and absence
 
 
-def reference_steps(s: Star) -> DataFrame:
-    return s.path_steps().where(F.col("trav") % REFERENCE == 0)
-
-
 @query
 def node_offsets(s: Star) -> DataFrame:
-    return pav.node_offsets(reference_steps(s), s.segments()).drop("kind")
+    return pav.node_offsets(s.path_steps(), s.segments()).drop("kind")
 
 
 @query
@@ -162,8 +158,9 @@ def bed_resolve(s: Star) -> DataFrame:
 
 @query
 def interval_overlap(s: Star) -> DataFrame:
-    bed = pav.resolved(s.bed(), pav.reference_names(s.path_graph()))
-    return pav.overlaps(bed, pav.node_offsets(reference_steps(s), s.segments()))
+    at = staged(pav.resolved(s.bed(), pav.reference_names(s.path_graph())), "windows")
+    steps = s.path_steps().join(at.select("trav").distinct(), "trav", "left_semi")
+    return pav.overlaps(at, pav.node_offsets(steps, s.segments()))
 
 
 def shares(s: Star, mode: Grouping) -> DataFrame:
@@ -206,13 +203,14 @@ def walk_names(s: Star) -> DataFrame:
 
 @query
 def extract_path(s: Star) -> DataFrame:
-    one = s.paths().where(f"trav = {REFERENCE}").select(F.lit(0).cast("bigint").alias("req_idx"), "name")
+    one = s.paths().agg(F.min("name").alias("name")).select(F.lit(0).cast("bigint").alias("req_idx"), "name")
     return extract.path_lines(one, s.paths(), s.path_steps())
 
 
 @query
 def extract_path_batch(s: Star) -> DataFrame:
-    asked = s.paths().where("trav % 1000 = 0").select((F.lit(0) - F.col("trav")).alias("req_idx"), "name")
+    """All paths, the last one first."""
+    asked = s.paths().select((F.lit(0) - F.col("trav")).alias("req_idx"), "name")
     return extract.path_lines(asked, s.paths(), s.path_steps())
 
 
@@ -222,13 +220,14 @@ def walk_requests(s: Star, where: str) -> DataFrame:
 
 @query
 def extract_walk(s: Star) -> DataFrame:
-    asked = walk_requests(s, "cast(substr(sample_id, 2) as int) % 50 in (0, 1)")
+    asked = walk_requests(s, "true")
     return extract.walk_lines(asked, s.walks(), s.walk_steps()).select("line")
 
 
 @query
 def extract_walk_by_name(s: Star) -> DataFrame:
-    asked = walk_requests(s, "seq_id = 'click' and cast(substr(sample_id, 2) as int) % 7 = 0")
+    """Walks of one sequence: there each sample has one."""
+    asked = walk_requests(s, "seq_id = 'click'")
     return extract.walk_lines(asked, s.walks(), s.walk_steps()).select("line")
 
 
@@ -343,9 +342,9 @@ def grammar_reduction(s: Star) -> DataFrame:
 
 @query
 def append_encode(s: Star) -> DataFrame:
-    """Walks of every seventh user, coded with the rules that the others' walks give."""
+    """Walks of purchases, coded with the rules that all other walks give."""
     own = keyed(s)
-    old, new = own.where("user_id % 7 != 0"), own.where("user_id % 7 = 0")
+    old, new = own.where("event_type <> 'purchase'"), own.where("event_type = 'purchase'")
     base = s.events().agg(F.max("node_id")).first()[0]
     rules = grammar.round_of(old, WALK, base)[1].withColumn("round", F.lit(1))
     return grammar.encode_with(new, WALK, rules, delta=0)
@@ -361,24 +360,25 @@ def known_ends() -> list[Column]:
 
 @query
 def append_paths(s: Star) -> DataFrame:
-    """Nine tenths of the paths, and the rest appended under new numbers."""
+    """Paths of first haplotypes, and those of second ones appended under new numbers."""
     all_ = s.paths().select("trav", "name", "overlaps")
-    stored, new = all_.where("trav % 10 != 0"), all_.where("trav % 10 = 0").select("name", "overlaps")
+    stored, new = all_.where("name like '%#1#%'"), all_.where("name like '%#2#%'").select("name", "overlaps")
     return append.appended(stored, new, ["name"]).select("trav", "name")
 
 
 @query
 def append_walks(s: Star) -> DataFrame:
-    w = s.walks().withColumn("u", F.expr("cast(substr(sample_id, 2) as int)"))
-    stored = w.where("u % 10 != 0").select(F.expr("cast(u as bigint) * 100").alias("trav"), *extract.WALK_KEY)
-    new = w.where("u % 10 = 0").select(*extract.WALK_KEY)
+    """Walks of purchases appended to all others."""
+    w = s.walks().withColumn("u", F.expr("cast(substr(sample_id, 2) as bigint)"))
+    stored = w.where("seq_id <> 'purchase'").select(F.expr("u * 100").alias("trav"), *extract.WALK_KEY)
+    new = w.where("seq_id = 'purchase'").select(*extract.WALK_KEY)
     return append.appended(stored, new, ["sample_id", "seq_id"]).select("trav", "sample_id", "hap_index", "seq_id", *known_ends())
 
 
 @query
 def append_conflicts(s: Star) -> DataFrame:
-    """Part names are not unique: those of even parts appended to those of odd ones."""
-    new, stored = s.segments().where("node_id % 2 = 0"), s.segments().where("node_id % 2 = 1")
+    """Part names are not unique: those of long parts appended to those of short ones."""
+    new, stored = s.segments().where("seq_len > 25"), s.segments().where("seq_len <= 25")
     return append.path_conflicts(new, stored)
 
 
@@ -390,8 +390,8 @@ def tail_split(s: Star) -> DataFrame:
 
 @query
 def dangling_filter(s: Star) -> DataFrame:
-    """Links whose ends are both among the parts with an even size."""
-    known = s.segments().where("seq_len % 2 = 0").select("node_id")
+    """Links whose ends are both among the short parts."""
+    known = s.segments().where("seq_len <= 25").select("node_id")
     a, b = known.withColumnRenamed("node_id", "na"), known.withColumnRenamed("node_id", "nb")
     return s.links().join(a, F.abs("a") == F.col("na"), "left_semi").join(b, F.abs("b") == F.col("nb"), "left_semi")
 
@@ -400,11 +400,10 @@ def dangling_filter(s: Star) -> DataFrame:
 
 
 def part_graph(s: Star) -> PangenomeGraph:
-    """Segments with tags, links between successive parts, and the paths of every 50th order."""
+    """Segments with tags, links between successive parts, and paths."""
     segments = s.segments().join(s.tags(), "node_id").select("node_id", F.col("node_id").cast("string").alias("name"), F.expr("repeat('A', cast(seq_len as int))").alias("sequence"), "seq_len", "tags")
-    some = s.path_steps().where("trav % 50 = 0")
-    links = s.links().where("abs(a) % 10 = 0").select((F.col("a") * 1000003 + F.col("b")).alias("link_idx"), F.abs("a").alias("from_id"), render.orient(F.col("a")).alias("from_orient"), F.abs("b").alias("to_id"), render.orient(F.col("b")).alias("to_orient"), F.lit(0).cast("bigint").alias("overlap_num"), F.lit("M").alias("overlap_op"), F.lit("0M").alias("overlap"), F.create_map().cast("map<string,struct<type:string,value:string>>").alias("tags"))
-    return PangenomeGraph(segments, some, s.paths().where("trav % 50 = 0"), None, links)
+    links = s.links().select((F.col("a") * 1000003 + F.col("b")).alias("link_idx"), F.abs("a").alias("from_id"), render.orient(F.col("a")).alias("from_orient"), F.abs("b").alias("to_id"), render.orient(F.col("b")).alias("to_orient"), F.lit(0).cast("bigint").alias("overlap_num"), F.lit("M").alias("overlap_op"), F.lit("0M").alias("overlap"), F.create_map().cast("map<string,struct<type:string,value:string>>").alias("tags"))
+    return PangenomeGraph(segments, s.path_steps(), s.paths(), None, links)
 
 
 def as_lines(g: PangenomeGraph) -> DataFrame:
@@ -479,8 +478,8 @@ def graph_summary(s: Star) -> DataFrame:
 
 @query
 def dense_name_stats(s: Star) -> DataFrame:
-    """Names that equal the ordinal: every third part keeps its name."""
-    seg = s.segments().withColumn("name", F.when(F.col("node_id") % 3 == 0, F.col("name")).otherwise(F.col("node_id").cast("string")))
+    """Names that equal the ordinal: long parts keep their names."""
+    seg = s.segments().withColumn("name", F.when(F.col("seq_len") > 25, F.col("name")).otherwise(F.col("node_id").cast("string")))
     return rounded(stats.dense_names(seg), "share", 6)
 
 
@@ -502,9 +501,9 @@ def varint_sizes(s: Star) -> DataFrame:
 
 @query
 def verify_equal(s: Star) -> DataFrame:
-    """Rows in which the paths and a copy with every 100th name changed differ."""
+    """Rows in which the paths and a copy with other names for second haplotypes differ."""
     a = s.paths().select("trav", "name")
-    b = a.withColumn("name", F.when(F.col("trav") % 100 == 0, F.concat("name", F.lit("x"))).otherwise(F.col("name")))
+    b = a.withColumn("name", F.when(F.col("name").like("%#2#%"), F.concat("name", F.lit("x"))).otherwise(F.col("name")))
     return stats.differences(a, b)
 
 
@@ -522,9 +521,9 @@ def number(c: Column) -> Column:
     return c.cast("string")
 
 
-def even_ids(s: Star) -> DataFrame:
-    """name, node_id of parts with an even id: the segments that jumps and containments can name."""
-    return s.segments().where("node_id % 2 = 0").select(number(F.col("node_id")).alias("name"), "node_id")
+def long_parts(s: Star) -> DataFrame:
+    """name, node_id of long parts: the segments that jumps and containments can name."""
+    return s.segments().where("seq_len > 25").select(number(F.col("node_id")).alias("name"), "node_id")
 
 
 def order() -> Column:
@@ -540,13 +539,13 @@ def header_scan(s: Star) -> DataFrame:
 def jump_parse(s: Star) -> DataFrame:
     distance = F.when(order() % 3 == 0, "*").otherwise(number(order()))
     lines = order_lines(s, F.lit("J"), number(order() % 50 + 1), F.lit("+"), number(order() % 7 + 1), F.lit("-"), distance, F.lit("SC:i:1"), F.lit("XX:Z:y"))
-    return gfa.parsed_jumps(lines, even_ids(s))
+    return gfa.parsed_jumps(lines, long_parts(s))
 
 
 @query
 def containment_parse(s: Star) -> DataFrame:
     lines = order_lines(s, F.lit("C"), number(order() % 50 + 1), F.lit("+"), number(order() % 7 + 1), F.lit("-"), F.concat(number(order()), F.lit("x")), F.lit("5M"), F.lit("ID:Z:q"))
-    return gfa.parsed_containments(lines, even_ids(s))
+    return gfa.parsed_containments(lines, long_parts(s))
 
 
 @query
@@ -642,7 +641,7 @@ def size_texts(s: Star) -> DataFrame:
 
 @query
 def store_roundtrip(s: Star) -> DataFrame:
-    """Paths of every 50th order, stored with coded traversals and read back."""
+    """The graph stored with coded traversals and read back."""
     where = f"{shared_dir(s.spark)}/braid/{uuid.uuid4().hex}/store"
     storage.save(part_graph(s), where, rounds=2, delta=1)
     g = storage.load(s.spark, where)

@@ -19,12 +19,12 @@ CTE = {
     "member": "select distinct sample as grp, abs(snode) as node_id from pstep join pmeta using (trav)",
     "memberh": "select distinct hap as grp, abs(snode) as node_id from pstep join pmeta using (trav)",
     "memberw": "select distinct user_id || '/' || event_type as grp, snode as node_id from wstep",
-    "ref": "select trav, pos, abs(snode) as node_id from pstep where trav % 97 = 0",
     "offs": """select trav, pos, node_id, cast(e - len as bigint) as node_start, cast(e as bigint) as node_end from
-        (select trav, pos, node_id, len, sum(len) over (partition by trav order by pos) as e from ref join seg using (node_id))""",
+        (select trav, pos, node_id, len, sum(len) over (partition by trav order by pos) as e from (select trav, pos, abs(snode) as node_id from pstep) join seg using (node_id))""",
     "total": "select trav, max(node_end) as total from offs group by trav",
+    "refs": "select trav, total from (select trav, total, row_number() over (partition by sample order by total desc, trav) as r from total join pmeta using (trav)) where r = 1",
     "bed": """select trav * 1000 + w as wid, trav, name as chrom, w * 25 as "start", w * 25 + 25 as "end", name || ':' || w as name from
-        (select trav, unnest(range(0, cast((total - 1) // 25 as bigint) + 1)) as w from total) join pmeta using (trav)""",
+        (select trav, unnest(range(0, cast((total - 1) // 25 as bigint) + 1)) as w from refs) join pmeta using (trav)""",
     "hit": """select distinct wid, node_id from bed join offs using (trav) where "end" > node_start and "start" < node_end""",
     "rawmer": "select user_id, event_type, pos, snode as a, lead(snode) over (partition by user_id, event_type order by pos) as b from wstep",
     "mer": """select user_id, event_type, pos, a, b, least(a * 4294967296 + (b & 4294967295), (-b) * 4294967296 + ((-a) & 4294967295)) as kmer from rawmer where b is not null""",
@@ -122,10 +122,10 @@ PLAIN = {
     "pav_matrix": "select wid, " + ", ".join(f"max(case when grp = 'N{i}' then round(pav, 6) end) as N{i}" for i in range(25)) + f" from ({ratio('member', 'sample')}) group by wid",
     "pav_groups": "select trav, sample, hap as sample_hap, name as sample_hap_seq from pmeta",
     "walk_names": "select sample_id, seq_id, sample_id || '#0#' || seq_id || case when seq_end is null then '' else ':' || seq_start || '-' || seq_end end as name from wmeta",
-    "extract_path": f"select cast(0 as bigint) as req_idx, 'P' || chr(9) || name || chr(9) || {P_TOKENS} || chr(9) || '*' as line from pstep join pmeta using (trav) where trav = 97 group by name",
-    "extract_path_batch": f"select -trav as req_idx, 'P' || chr(9) || name || chr(9) || coalesce(toks, '') || chr(9) || '*' as line from pmeta left join (select trav, {P_TOKENS} as toks from pstep group by trav) using (trav) where trav % 1000 = 0",
-    "extract_walk": f"{WALK_LINE} where user_id % 50 in (0, 1)",
-    "extract_walk_by_name": f"{WALK_LINE} where seq_id = 'click' and user_id % 7 = 0",
+    "extract_path": f"select cast(0 as bigint) as req_idx, 'P' || chr(9) || name || chr(9) || {P_TOKENS} || chr(9) || '*' as line from pstep join pmeta using (trav) where name = (select min(name) from pmeta) group by name",
+    "extract_path_batch": f"select -trav as req_idx, 'P' || chr(9) || name || chr(9) || coalesce(toks, '') || chr(9) || '*' as line from pmeta left join (select trav, {P_TOKENS} as toks from pstep group by trav) using (trav)",
+    "extract_walk": WALK_LINE,
+    "extract_walk_by_name": f"{WALK_LINE} where seq_id = 'click'",
     "duplicate_names": "select name, count(*) as n from seg group by name having count(*) > 1",
     "sample_names": "select name, md5('7:' || name) as h from pmeta order by h limit 20",
     "delta_encode": "select trav, pos, snode - coalesce(lag(snode) over (partition by trav order by pos), 0) as snode from pstep",
@@ -143,24 +143,24 @@ PLAIN = {
     "grammar_multi_round": "select user_id, event_type, pos, snode from wstep",
     "grammar_reduction": f"""with {ROUND_ALL}, {CODED.format(which='')} select (select count(*) from wstep) as n_before, (select count(*) from coded) as n_after, (select count(*) from rules) as n_rules,
         round((select count(*) from coded) / cast((select count(*) from wstep) as double), 6) as share""",
-    "append_encode": f"""with {ROUND.format(where="where user_id % 7 <> 0", which="where user_id % 7 <> 0").replace("rep as", "rep0 as").replace("join rep using", "join rep0 using").replace("cand", "cand0").replace("isl ", "isl0 ").replace("from isl", "from isl0").replace("pick as", "pick0 as").replace("isl00", "isl0")},
+    "append_encode": f"""with {ROUND.format(where="where event_type <> 'purchase'", which="where event_type <> 'purchase'").replace("rep as", "rep0 as").replace("join rep using", "join rep0 using").replace("cand", "cand0").replace("isl ", "isl0 ").replace("from isl", "from isl0").replace("pick as", "pick0 as").replace("isl00", "isl0")},
         {RULES.replace("from pick", "from pick0")},
-        cand as (select m.*, row_number() over (partition by user_id, event_type order by pos) as rn from mer m join rules using (kmer) where user_id % 7 = 0),
+        cand as (select m.*, row_number() over (partition by user_id, event_type order by pos) as rn from mer m join rules using (kmer) where event_type = 'purchase'),
         isl as (select *, row_number() over (partition by user_id, event_type, pos - rn order by pos) as k from cand), pick as (select * from isl where k % 2 = 1),
-        {CODED.format(which='where w.user_id % 7 = 0')} select user_id, event_type, pos, snode from coded""",
-    "append_paths": """select trav, name from pmeta where trav % 10 <> 0 union all
-        select (select max(trav) + 1 from pmeta where trav % 10 <> 0) + row_number() over (order by name) - 1, name from pmeta where trav % 10 = 0""",
-    "append_walks": """select user_id * 100 as trav, sample_id, hap_index, seq_id, coalesce(seq_start, -1) as seq_start, coalesce(seq_end, -1) as seq_end from wmeta where user_id % 10 <> 0 union all
-        select (select max(user_id) * 100 + 1 from wmeta where user_id % 10 <> 0) + row_number() over (order by sample_id, seq_id) - 1, sample_id, hap_index, seq_id, coalesce(seq_start, -1), coalesce(seq_end, -1) from wmeta where user_id % 10 = 0""",
-    "append_conflicts": """select name, 'repeated' as reason from seg where node_id % 2 = 0 group by name having count(*) > 1 union all
-        select distinct name, 'exists' from seg where node_id % 2 = 0 and name in (select name from seg where node_id % 2 = 1)""",
+        {CODED.format(which="where w.event_type = 'purchase'")} select user_id, event_type, pos, snode from coded""",
+    "append_paths": """select trav, name from pmeta where name like '%#1#%' union all
+        select (select max(trav) + 1 from pmeta where name like '%#1#%') + row_number() over (order by name) - 1, name from pmeta where name like '%#2#%'""",
+    "append_walks": """select user_id * 100 as trav, sample_id, hap_index, seq_id, coalesce(seq_start, -1) as seq_start, coalesce(seq_end, -1) as seq_end from wmeta where seq_id <> 'purchase' union all
+        select (select max(user_id) * 100 + 1 from wmeta where seq_id <> 'purchase') + row_number() over (order by sample_id, seq_id) - 1, sample_id, hap_index, seq_id, coalesce(seq_start, -1), coalesce(seq_end, -1) from wmeta where seq_id = 'purchase'""",
+    "append_conflicts": """select name, 'repeated' as reason from seg where len > 25 group by name having count(*) > 1 union all
+        select distinct name, 'exists' from seg where len > 25 and name in (select name from seg where len <= 25)""",
     "tail_split": "select trav as line_no, name as line, case when row_number() over (order by trav desc) <= 10 then 'tail' else 'head' end as part from pmeta",
-    "dangling_filter": "select a, b from link where abs(a) in (select node_id from seg where len % 2 = 0) and abs(b) in (select node_id from seg where len % 2 = 0)",
+    "dangling_filter": "select a, b from link where abs(a) in (select node_id from seg where len <= 25) and abs(b) in (select node_id from seg where len <= 25)",
     "render_gfa_lines": f"""select 'S' || chr(9) || (p_partkey + 1) || chr(9) || repeat('A', p_size) || chr(9) || 'BZ:Z:' || p_brand || chr(9) || 'PR:f:' || printf('%.6g', p_retailprice) || chr(9) || 'TY:Z:' || p_type as line from part
-        union all select 'L' || chr(9) || abs(a) || chr(9) || case when a < 0 then '-' else '+' end || chr(9) || abs(b) || chr(9) || case when b < 0 then '-' else '+' end || chr(9) || '0M' from link where abs(a) % 10 = 0
-        union all select 'P' || chr(9) || name || chr(9) || coalesce(toks, '') || chr(9) || '*' from pmeta left join (select trav, {P_TOKENS} as toks from pstep group by trav) using (trav) where trav % 50 = 0""",
-    "scan_gfa_roundtrip": "select name, pos, snode from pstep join pmeta using (trav) where trav % 50 = 0",
-    "path_parse_explode": "select name, pos, abs(snode) as node_id, snode < 0 as reverse from pstep join pmeta using (trav) where trav % 50 = 0",
+        union all select 'L' || chr(9) || abs(a) || chr(9) || case when a < 0 then '-' else '+' end || chr(9) || abs(b) || chr(9) || case when b < 0 then '-' else '+' end || chr(9) || '0M' from link
+        union all select 'P' || chr(9) || name || chr(9) || coalesce(toks, '') || chr(9) || '*' from pmeta left join (select trav, {P_TOKENS} as toks from pstep group by trav) using (trav)""",
+    "scan_gfa_roundtrip": "select name, pos, snode from pstep join pmeta using (trav)",
+    "path_parse_explode": "select name, pos, abs(snode) as node_id, snode < 0 as reverse from pstep join pmeta using (trav)",
     "walk_parse_explode": "select sample_id, seq_id, coalesce(seq_start, -1) as seq_start, coalesce(seq_end, -1) as seq_end, pos, snode as node_id, false as reverse from wstep join wmeta using (user_id, event_type)",
     "link_parse": """select o_orderkey, o as overlap, case when o in ('*', '') then 0 else coalesce(try_cast(regexp_extract(o, '^([0-9]*)', 1) as bigint), 0) end as overlap_num,
         case when o in ('*', '') then null else nullif(regexp_extract(o, '^[0-9]*(.?)', 1), '') end as overlap_op from (select o_orderkey, (['*', '', '5', '12M', '3M2I', 'M', '0M', '7='])[o_orderkey % 8 + 1] as o from orders)""",
@@ -170,27 +170,27 @@ PLAIN = {
     "graph_summary": """select 'segments' as record, count(*) as n from seg union all select 'steps', (select count(*) from pstep) + (select count(*) from wstep) union all
         select 'paths', count(*) from pmeta union all select 'walks', count(*) from wmeta union all select 'links', count(*) from link""",
     "dense_name_stats": """select count(*) as n_segments, count(*) filter (where n = cast(node_id as varchar)) as n_dense, round(count(*) filter (where n = cast(node_id as varchar)) / cast(count(*) as double), 6) as share
-        from (select node_id, case when node_id % 3 = 0 then name else cast(node_id as varchar) end as n from seg)""",
+        from (select node_id, case when len > 25 then name else cast(node_id as varchar) end as n from seg)""",
     "column_size_stats": """select 'segments' as tbl, 'node_id' as col, count(*) * 8 as bytes from seg union all select 'segments', 'name', cast(sum(strlen(name)) as bigint) from seg union all select 'segments', 'seq_len', count(*) * 8 from seg
         union all select 'steps', 'trav', count(*) * 8 from pstep union all select 'steps', 'pos', count(*) * 8 from pstep union all select 'steps', 'snode', count(*) * 8 from pstep
         union all select 'paths', 'trav', count(*) * 8 from pmeta union all select 'paths', 'name', cast(sum(strlen(name)) as bigint) from pmeta union all select 'paths', 'overlaps', cast(0 as bigint)""",
     "orient_bitpack": "select trav, pos // 8 as byte_idx, cast(sum(case when snode < 0 then 1 << cast(pos % 8 as integer) else 0 end) as bigint) as byte from pstep group by trav, pos // 8",
     "varint_sizes": """with d as (select trav, snode - coalesce(lag(snode) over (partition by trav order by pos), 0) as d from pstep), z as (select trav, case when d < 0 then -2 * d - 1 else 2 * d end as z from d)
         select trav, count(*) as n, cast(sum(case when z < 128 then 1 when z < 16384 then 2 when z < 2097152 then 3 when z < 268435456 then 4 else 5 end) as bigint) as bytes from z group by trav""",
-    "verify_equal": "select side, count(*) filter (where trav % 100 = 0) as n from pmeta, (values ('left'), ('right')) v(side) group by side",
+    "verify_equal": "select side, count(*) filter (where name like '%#2#%') as n from pmeta, (values ('left'), ('right')) v(side) group by side",
     "header_scan": "select 'H' || chr(9) || 'VN:Z:' || max(o_orderkey) as line from orders",
     "jump_parse": """select row_number() over (order by o_orderkey) - 1 as jump_idx, o_orderkey % 50 + 1 as from_id, '+' as from_orient, o_orderkey % 7 + 1 as to_id, '-' as to_orient,
-        case when o_orderkey % 3 = 0 then '*' else cast(o_orderkey as varchar) end as distance, 'SC:i:1' || chr(9) || 'XX:Z:y' as rest from orders where (o_orderkey % 50 + 1) % 2 = 0 and (o_orderkey % 7 + 1) % 2 = 0""",
+        case when o_orderkey % 3 = 0 then '*' else cast(o_orderkey as varchar) end as distance, 'SC:i:1' || chr(9) || 'XX:Z:y' as rest from orders where o_orderkey % 50 + 1 in (select node_id from seg where len > 25) and o_orderkey % 7 + 1 in (select node_id from seg where len > 25)""",
     "containment_parse": """select row_number() over (order by o_orderkey) - 1 as containment_idx, o_orderkey % 50 + 1 as container_id, '+' as container_orient, o_orderkey % 7 + 1 as contained_id, '-' as contained_orient,
-        o_orderkey as pos, '5M' as overlap, 'ID:Z:q' as rest from orders where (o_orderkey % 50 + 1) % 2 = 0 and (o_orderkey % 7 + 1) % 2 = 0""",
+        o_orderkey as pos, '5M' as overlap, 'ID:Z:q' as rest from orders where o_orderkey % 50 + 1 in (select node_id from seg where len > 25) and o_orderkey % 7 + 1 in (select node_id from seg where len > 25)""",
     "bed_parse": """select o_orderkey as line_no, 'c' || o_orderkey as chrom, cast(case f when 0 then 5 when 1 then 7 when 4 then 9 else -1 end as bigint) as "start", cast(case f when 0 then 9 when 1 then 8 else 5 end as bigint) as "end",
         case f when 0 then 'n' || o_orderkey when 1 then 'c' || o_orderkey || ':7-8' when 4 then 'r' else '' end as name, f in (0, 1) as ok from (select o_orderkey, o_orderkey % 6 as f from orders) where f not in (2, 3)""",
     "appendix_check": "select o_orderkey, o_orderkey % 6 = 0 as is_path, o_orderkey % 6 = 3 as is_walk from orders",
     "number_prefix": "select o_orderkey, case o_orderkey % 4 when 2 then -o_orderkey when 3 then -999 else o_orderkey end as n from orders",
     "tag_conflicts": "select 'AA' as tag, 'Z,i' as types where (select count(distinct p_size > 10) from part) = 2 union all select 'CC', 'q' where exists (select 1 from part)",
     "render_streamed": f"""select 1 as section, min(line) as first_line, max(line) as last_line, count(*) as n from (select 'S' || chr(9) || (p_partkey + 1) || chr(9) || repeat('A', p_size) || chr(9) || 'BZ:Z:' || p_brand || chr(9) || 'PR:f:' || printf('%.6g', p_retailprice) || chr(9) || 'TY:Z:' || p_type as line from part)
-        union all select 2, min(line), max(line), count(*) from (select 'L' || chr(9) || abs(a) || chr(9) || case when a < 0 then '-' else '+' end || chr(9) || abs(b) || chr(9) || case when b < 0 then '-' else '+' end || chr(9) || '0M' as line from link where abs(a) % 10 = 0)
-        union all select 5, min(line), max(line), count(*) from (select 'P' || chr(9) || name || chr(9) || coalesce(toks, '') || chr(9) || '*' as line from pmeta left join (select trav, {P_TOKENS} as toks from pstep group by trav) using (trav) where trav % 50 = 0)""",
+        union all select 2, min(line), max(line), count(*) from (select 'L' || chr(9) || abs(a) || chr(9) || case when a < 0 then '-' else '+' end || chr(9) || abs(b) || chr(9) || case when b < 0 then '-' else '+' end || chr(9) || '0M' as line from link)
+        union all select 5, min(line), max(line), count(*) from (select 'P' || chr(9) || name || chr(9) || coalesce(toks, '') || chr(9) || '*' as line from pmeta left join (select trav, {P_TOKENS} as toks from pstep group by trav) using (trav))""",
     "pav_lines": f"""select b.chrom || chr(9) || b."start" || chr(9) || b."end" || chr(9) || b.name || chr(9) || r.grp || chr(9) || printf('%.5g', r.pav) as line from ({ratio('member', 'sample')}) r join bed b using (wid)""",
     "walk_groups": "select sample_id, seq_id, sample_id as sample, sample_id || '#0' as sample_hap, sample_id || '#0#' || seq_id as sample_hap_seq from wmeta",
     "flat_delta": "select node_id, len - coalesce(lag(len) over (order by node_id), 0) as seq_len from seg",
@@ -204,7 +204,7 @@ PLAIN = {
     "rule_leaves": f"with {ROUND_ALL} select rule_id, cast(2 as bigint) as n, first || ',' || second as leaf from rules",
     "size_texts": """select o_orderkey, case when n < 1024 then n || ' B' when n < 1048576 then printf('%.2f KB', n / 1024.0) when n < 1073741824 then printf('%.2f MB', n / 1048576.0) else printf('%.2f GB', n / 1073741824.0) end as size
         from (select o_orderkey, o_orderkey * o_orderkey * 977 as n from orders)""",
-    "store_roundtrip": "select name, pos, snode from pstep join pmeta using (trav) where trav % 50 = 0",
+    "store_roundtrip": "select name, pos, snode from pstep join pmeta using (trav)",
 }
 
 SQL = {name: full(sql) for name, sql in PLAIN.items()}

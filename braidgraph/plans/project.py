@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import pansn
 from ..model import PangenomeGraph
 
-#: Width of the windows on reference paths, and which orders are references.
-TILE, REFERENCE = 25, 97
+#: Width of the windows on reference paths.
+TILE = 25
 
 
 class Star:
@@ -73,9 +74,15 @@ class Star:
         w = Window.partitionBy("trav").orderBy("pos")
         return self.path_steps().select(F.col("snode").alias("a"), F.lead("snode").over(w).alias("b")).where("b is not null").distinct()
 
+    def references(self) -> DataFrame:
+        """trav, name, total of the longest path of each sample; of equally long ones the first."""
+        sizes = self.path_steps().select("trav", F.abs("snode").alias("node_id")).join(self.segments(), "node_id").groupBy("trav").agg(F.sum("seq_len").alias("total"))
+        sample = pansn.growth_parts(F.col("name"))["sample"]
+        best = F.min(F.struct((-F.col("total")).alias("t"), "trav", "name"))
+        return sizes.join(self.paths(), "trav").groupBy(sample.alias("sample")).agg(best.alias("b")).select("b.trav", "b.name", (-F.col("b.t")).alias("total"))
+
     def bed(self) -> DataFrame:
         """wid, chrom, start, end, name: tiles over the reference paths."""
-        ref = self.path_steps().where(F.col("trav") % REFERENCE == 0).select("trav", F.abs("snode").alias("node_id")).join(self.segments(), "node_id").groupBy("trav").agg(F.sum("seq_len").alias("total"))
-        tiles = ref.join(self.paths(), "trav").select("trav", "name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("total") - 1) / TILE))).alias("w"))
+        tiles = self.references().select("trav", "name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("total") - 1) / TILE))).alias("w"))
         start = F.col("w") * TILE
         return tiles.select((F.col("trav") * 1000 + F.col("w")).alias("wid"), F.col("name").alias("chrom"), start.alias("start"), (start + TILE).alias("end"), F.concat_ws(":", "name", F.col("w").cast("string")).alias("name"))
