@@ -26,6 +26,8 @@ BANDS, ROWS = 40, 6  #: 240 coordinates; at similarity 0.8 a pair shares no band
 #: Rank from which the first cell of darts doubles: fine enough for texts of some hundred thousand words.
 FINEST = 6
 ELEMENT_BITS = 52
+#: Cells of darts that are looked at together.
+BLOCK = 100_000
 _UNIT = 1 / float(1 << 53)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -106,10 +108,12 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n:
         if len(i):
             throw(i, mix64(seed[i] ^ np.uint64(j + 1)), edges[j], edges[j + 1] - edges[j])
     more = np.maximum(np.ceil(limit[of]).astype(np.int64) - 1, 0)  # beyond rank 1 every cell is one unit wide
-    for a in range(0, len(of), 20_000):
-        i = np.repeat(np.arange(a, min(a + 20_000, len(of))), more[a : a + 20_000])
+    cells = np.cumsum(more)
+    cut = np.searchsorted(cells, np.arange(0, max(1, cells[-1]) if len(cells) else 1, BLOCK), side="right")
+    for a, b in zip(cut, [*cut[1:], len(of)], strict=True):  # about BLOCK cells at a time
+        m = more[a:b]
+        i = np.repeat(np.arange(a, b), m)
         if len(i):
-            m = more[a : a + 20_000]
             rank = 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
             throw(i, mix64(seed[i] + rank.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), rank.astype(float), 1.0)
     out = best.reshape(n, k)
