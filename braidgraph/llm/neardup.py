@@ -257,7 +257,7 @@ def classes(docs: DataFrame, least: float = 0.8, weigh: str = "set", bands: int
     for turn in range(1, rounds):
         # members with their present class, in the buckets that hold more than one
         now = multi.select("band", "node", "n").join(comp, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        mixed = staged(now.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.col("node").bitwiseXOR(F.xxhash64(F.lit(turn)))).alias("hub")).where("c0 != c1").select("band", F.col("hub").bitwiseXOR(F.xxhash64(F.lit(turn))).alias("hub")), "mixed")
+        mixed = now.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.col("node").bitwiseXOR(F.xxhash64(F.lit(turn)))).alias("hub")).where("c0 != c1").select("band", F.col("hub").bitwiseXOR(F.xxhash64(F.lit(turn))).alias("hub"))
         open_ = staged(now.join(mixed, "band"), "open")
         few = open_.where(F.col("n") <= small)
         other = few.select("band", F.col("node").alias("hub2"), F.col("comp").alias("comp2"))
@@ -267,7 +267,7 @@ def classes(docs: DataFrame, least: float = 0.8, weigh: str = "set", bands: int
         if new.limit(1).count() == 0:
             break
         found = staged(verified(new, sets, least), "found")
-        tried = staged(tried.union(new), "tried")
+        tried = tried.union(new)
         if found.limit(1).count():
             links = links.union(found)
             comp = components(links)
