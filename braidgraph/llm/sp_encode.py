@@ -27,8 +27,8 @@ from ._common import ready
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # piece types, fixed by the model format
-#: Encoded parts that a worker keeps in each of two generations, and a quarter of the token pairs that it keeps.
-CACHE = 200_000
+#: Encoded parts that a worker keeps in each of two generations, and a third of the token pairs that it keeps.
+CACHE = 100_000
 
 
 @dataclass
@@ -173,7 +173,7 @@ class Coder:
                     i += 1
                 else:
                     j += 1
-            if len(self.pairs) >= 4 * CACHE:
+            if len(self.pairs) >= 3 * CACHE:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
