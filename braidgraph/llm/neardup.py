@@ -216,21 +216,40 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and comp (the smallest node reached) for every node of links (a, b): least labels, with jumps to the label's label."""
-    ways = staged(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ways")
-    label = staged(ways.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "label")
-    for _ in range(rounds):
-        near = ways.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        low = label.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low"))
-        jump = label.select(F.col("node").alias("low"), F.col("comp").alias("far"))
-        new = staged(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("comp"), (F.least("low", F.coalesce("far", "low")) < F.col("comp")).alias("moved")), "label")
-        moved = new.where("moved").limit(1).count()
-        unstage(label)
-        label = new
-        if not moved:
+def components(links: DataFrame) -> DataFrame:
+    """node and comp (the smallest node reached) for every node of links (a, b), however long the ways are.
+
+    Each round hooks every node to the smallest of itself and its neighbours and contracts the links to the hooks, until
+    no link is left. The order is the nodes' own at first and a new random one in each later round, so that chains of any
+    numbering shrink by a constant factor: rounds grow with the logarithm of a class's size.
+    """
+    ways = staged(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "ways")
+    hooks = []
+    while True:
+        if hooks:
+            place = lambda c: F.struct(F.xxhash64(c, F.lit(len(hooks))).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
+            low = F.least(F.min(place("b")), F.first(place("a")))["x"]
+        else:
+            low = F.least(F.min("b"), F.first("a"))
+        hook = staged(ways.groupBy(F.col("a").alias("node")).agg(low.alias("comp")), "hook")
+        hooks.append(hook)
+        ends = ways.join(hook.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(hook.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+        rest = staged(ends.where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "ways")
+        unstage(ways)
+        ways = rest
+        if not ways.limit(1).count():
             break
-    return label.select("node", "comp")
+    unstage(ways)
+    if len(hooks) == 1:
+        return hooks[0]
+    label = hooks[-1]
+    for hook in reversed(hooks[:-1]):  # the later, the fewer nodes
+        label = hook.join(label.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    label = staged(label, "label")
+    least = label.groupBy("comp").agg(F.min("node").alias("least"))
+    out = staged(label.join(least, "comp").select("node", F.col("least").alias("comp")), "label")
+    unstage(label, *hooks)
+    return out
 
 
 def classes(docs: DataFrame, least: float = 0.8, weigh: str = "set", bands: int = BANDS, rows: int = ROWS, rounds: int = 4, small: int = 16) -> tuple[DataFrame, int]:

@@ -93,3 +93,19 @@ def test_odd(odd, none):
     assert neardup.duplicate_classes(none).count() == 0 and neardup.keep_first(none).count() == 0
     twice = odd.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long"))
     assert neardup.keep_first(twice.union(twice)).count() == 1
+
+
+def test_components_of_long_chains(spark):
+    rnd = random.Random(5)
+    links, want = [], {}
+    for n in (1, 2, 500, 1500):
+        for order in ("random", "rising"):
+            ids = [x - (1 << 61) for x in rnd.sample(range(1 << 62), n + 1)]
+            ids = ids if order == "random" else sorted(ids)
+            links += zip(ids, ids[1:], strict=False)
+            want |= dict.fromkeys(ids, min(ids))
+    hub = rnd.sample(range(1 << 62), 300)
+    links += [(hub[0], x) for x in hub[1:]] + [(hub[1], hub[0])]
+    want |= dict.fromkeys(hub, min(hub))
+    got = neardup.components(spark.createDataFrame(links, "a long, b long"))
+    assert sorted((r.node, r.comp) for r in got.collect()) == sorted(want.items())
