@@ -252,12 +252,79 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
+#: Members of a block, whose pairs are looked at together with those of another block; and elements at a time.
+BLOCK_MEMBERS, BLOCK_ELEMENTS = 256, 8192
+
+
+def shared_elements(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """len(x) x len(y) sizes of the intersections of sets (arrays of distinct numbers)."""
+    out = np.zeros((len(x), len(y)), np.float64)
+    flat = [np.concatenate(sets) for sets in (x, y)]
+    row = [np.repeat(np.arange(len(sets)), [len(e) for e in sets]) for sets in (x, y)]
+    both = np.intersect1d(*flat)
+    place = [np.minimum(np.searchsorted(both, e), max(0, len(both) - 1)) for e in flat]
+    order = []
+    for i in range(2):
+        known = both[place[i]] == flat[i] if len(both) else np.zeros(0, bool)
+        at, of = place[i][: len(known)][known], row[i][: len(known)][known]
+        by = np.argsort(at, kind="stable")
+        order.append((at[by], of[by]))
+    for low in range(0, len(both), BLOCK_ELEMENTS):
+        hot = []
+        for (at, of), n in zip(order, out.shape, strict=True):
+            part = slice(*np.searchsorted(at, [low, low + BLOCK_ELEMENTS]))
+            m = np.zeros((n, BLOCK_ELEMENTS), np.float32)
+            m[of[part], at[part] - low] = 1
+            hot.append(m)
+        out += hot[0] @ hot[1].T
+    return out
+
+
+def crowded(open_: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links (a, b) among all pairs of members of different classes in each bucket: open_ has band, node, n and comp.
+
+    A bucket's members are dealt into blocks, and every two blocks meet in a group of their own. A pair that shares several
+    buckets is compared in the first of its bands only.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
+    full = open_.join(nodes.select("node", "bands"), "node").join(sets.select("node", "x"), "node")
+    other = full.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+    met = other.select("band", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "comp", "bands", "x")
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        band, i, j = (k.as_py() for k in key)
+        own = t.column("own").to_numpy()
+        sides = [np.flatnonzero(own == i), np.flatnonzero(own == j)]
+        node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
+        bands = np.array(t.column("bands").to_pylist(), np.int64)
+        a, b = [], []
+        if len(sides[0]) and len(sides[1]) and comp.min() != comp.max():
+            wanted = comp[sides[0]][:, None] != comp[sides[1]][None, :]
+            if i == j:
+                wanted &= node[sides[0]][:, None] < node[sides[1]][None, :]
+            for k in range(int(np.flatnonzero(bands[0] == band)[0])):  # met in an earlier band
+                wanted &= bands[sides[0], k][:, None] != bands[sides[1], k][None, :]
+            if wanted.any():
+                x = [[np.frombuffer(e, "<u4") for e in t.column("x").take(pa.array(side)).to_pylist()] for side in sides]
+                common = shared_elements(*x)
+                size = [np.array([len(e) for e in side]) for side in x]
+                hit = wanted & (common >= least * (size[0][:, None] + size[1][None, :] - common) - 1e-9)
+                p, q = np.nonzero(hit)
+                a, b = node[sides[0]][p], node[sides[1]][q]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return met.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, least: float = 0.8, weigh: str = "set", bands: int = BANDS, rows: int = ROWS, rounds: int = 4, small: int = 16) -> tuple[DataFrame, int]:
     """Table of node, comp (its class), class_id (smallest doc_id of the class), class_size; and the salt that makes nodes of texts.
 
-    Members of a bucket are first compared with one of them, the same for all buckets of a class; where a bucket still
-    holds several classes, small buckets compare all their members of different classes, large ones turn to another
-    member, until no bucket offers a new pair (at most `rounds` times).
+    Members of a bucket are first compared with one of them, the same for all buckets of a class. Where a bucket still
+    holds several classes, small buckets compare all their members of different classes, and large ones turn to other
+    members, first the one with most links, in at most `rounds` turns. Large buckets that are mixed even then compare
+    all their members of different classes as well, so that every two texts that share a bucket end in one class or have
+    been compared.
     """
     ready(docs.sparkSession)
     signed = staged(banded(docs, weigh, bands, rows).groupBy("full").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "signed")
@@ -273,11 +340,23 @@ def classes(docs: DataFrame, least: float = 0.8, weigh: str = "set", bands: int
     tried = staged(pair(multi, "node", "hub"), "tried")
     links = staged(verified(tried, sets, least), "links")
     comp = components(links)
+
+    def open_buckets(least_n: int, turn: int) -> DataFrame:
+        """Members with their present class, in the buckets of more than least_n that hold more than one; and a hub for each."""
+        now = multi.where(F.col("n") > least_n).select("band", "node", "n", F.col("hub").alias("hub0")).join(comp, "node", "left").select("band", "node", "n", "hub0", F.coalesce("comp", "node").alias("comp"))
+        if turn == 1:
+            degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+            now = now.join(degree, "node", "left")
+            rank = F.struct(F.col("node") == F.col("hub0"), -F.coalesce("d", F.lit(0)), "node")
+            hub = F.min_by("node", rank)
+        else:
+            hub = F.min(F.col("node").bitwiseXOR(F.xxhash64(F.lit(turn)))).bitwiseXOR(F.xxhash64(F.lit(turn)))
+        mixed = now.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), hub.alias("hub")).where("c0 != c1").select("band", "hub")
+        return staged(now.select("band", "node", "n", "comp").join(mixed, "band"), "open")
+
     for turn in range(1, rounds):
-        # members with their present class, in the buckets that hold more than one
-        now = multi.select("band", "node", "n").join(comp, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        mixed = now.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.col("node").bitwiseXOR(F.xxhash64(F.lit(turn)))).alias("hub")).where("c0 != c1").select("band", F.col("hub").bitwiseXOR(F.xxhash64(F.lit(turn))).alias("hub"))
-        open_ = staged(now.join(mixed, "band"), "open")
+        # all pairs of small buckets are compared in the first turn
+        open_ = open_buckets(0 if turn == 1 else small, turn)
         few = open_.where(F.col("n") <= small)
         other = few.select("band", F.col("node").alias("hub2"), F.col("comp").alias("comp2"))
         close = pair(few.join(other, "band").where("node < hub2 and comp != comp2"), "node", "hub2")
@@ -290,6 +369,11 @@ def classes(docs: DataFrame, least: float = 0.8, weigh: str = "set", bands: int
         if found.limit(1).count():
             links = links.union(found)
             comp = components(links)
+    left = open_buckets(small if rounds > 1 else 0, rounds)
+    if left.limit(1).count():
+        found = staged(crowded(left, nodes, sets, least), "found")
+        if found.limit(1).count():
+            comp = components(links.union(found))
     of = nodes.join(comp, "node", "left").select("node", "first", "copies", F.coalesce("comp", "node").alias("comp"))
     named = of.groupBy("comp").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
     return staged(of.join(named, "comp").select("node", "comp", "class_id", "class_size"), "classes"), salt

@@ -109,3 +109,29 @@ def test_components_of_long_chains(spark):
     want |= dict.fromkeys(hub, min(hub))
     got = neardup.components(spark.createDataFrame(links, "a long, b long"))
     assert sorted((r.node, r.comp) for r in got.collect()) == sorted(want.items())
+
+
+def test_copies_that_resemble_only_their_base(spark):
+    rnd = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(600)]
+    rows = []
+    for _ in range(1200):  # about 0.84 like the base, about 0.72 like each other
+        text = list(words)
+        for k in rnd.choice(598, 11, replace=False):
+            text[k] = f"x{rnd.integers(1 << 40)}"
+        rows.append((len(rows) + 1, " ".join(text)))
+    rows.insert(700, (0, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    base = shingles(rows[700][1])
+    assert all(len(base & x) >= 0.8 * len(base | x) for x in (shingles(t) for _, t in rows))  # so all are one class
+    assert {r.class_id for r in neardup.duplicate_classes(docs).collect()} == {0}
+    few, alone = docs.where("doc_id <= 120"), docs.where("doc_id between 1 and 120")
+    for part, settings in ((few, {"rounds": 1}), (alone, {})):
+        got = neardup.duplicate_classes(part, **settings)
+        assert {r.doc_id: r.class_id for r in got.collect()} == brute([r for r in rows if r[0] <= 120 and (r[0] or part is few)])
+
+
+def test_shared_elements():
+    rnd = np.random.default_rng(2)
+    x, y = ([np.unique(rnd.integers(0, top, n)).astype("<u4") for n in (0, 1, 50, 30_000)] for top in (20_000, 40_000))
+    assert neardup.shared_elements(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
