@@ -7,26 +7,54 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors see; a temporary folder where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir, which all executors see. Where it is unset, a temporary folder on a local master, else an error:
+    the executors of a cluster would write to disks of their own."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = getattr(spark.sparkContext, "_braid_shared", None)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = getattr(sc, "_braid_shared", None)
         if base is None:
-            base = spark.sparkContext._braid_shared = tempfile.mkdtemp(prefix="braid-shared-")
+            base = sc._braid_shared = tempfile.mkdtemp(prefix="braid-shared-")
             atexit.register(shutil.rmtree, base, ignore_errors=True)
     return base.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder of this application under shared_dir(), removed when the application ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark)}/braid/{sc.applicationId}"
+    if getattr(sc, "_braid_work", None) != path:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+        sc._braid_work = path
+    return path
+
+
 def staged(df: DataFrame, name: str = "part") -> DataFrame:
     """df written as Parquet to the shared folder and read again: survives the loss of executors, unlike a cache."""
-    path = f"{shared_dir(df.sparkSession)}/braid/{uuid.uuid4().hex}/{name}"
+    path = f"{work_dir(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._braid_path = path
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Remove what staged() wrote, once nothing will read it again; what is never unstaged goes with the application."""
+    for df in frames:
+        path = getattr(df, "_braid_path", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def numbered(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
@@ -51,8 +79,6 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str) -> Dat
     for p, n in sorted((r["_p"], r["n"]) for r in held.groupBy("_p").agg(F.sum(value).alias("n")).collect()):
         starts += [F.lit(p), F.lit(before)]
         before += n or 0
-    from pyspark.sql import Window
-
     own = F.sum(value).over(Window.partitionBy("_p").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
     first = F.create_map(*starts)[F.col("_p")] if starts else F.lit(0)
     return held.withColumn(name, (first + F.coalesce(own, F.lit(0))).cast("long")).drop("_p", "_r")

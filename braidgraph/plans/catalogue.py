@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import packing, pansn, render
-from ..functions.staging import shared_dir, staged
+from ..functions.staging import staged, work_dir
 from ..model import Grouping, PangenomeGraph
 from ..operators import append, extract, grammar, growth, pav, stats, traversal
 from ..sources import appendix, bed, gfa, storage
@@ -642,7 +642,7 @@ def size_texts(s: Star) -> DataFrame:
 @query
 def store_roundtrip(s: Star) -> DataFrame:
     """The graph stored with coded traversals and read back."""
-    where = f"{shared_dir(s.spark)}/braid/{uuid.uuid4().hex}/store"
+    where = f"{work_dir(s.spark)}/{uuid.uuid4().hex}/store"
     storage.save(part_graph(s), where, rounds=2, delta=1)
     g = storage.load(s.spark, where)
     return g.steps.where("kind = 'P'").join(g.paths, "trav").select("name", "pos", "snode")
