@@ -6,21 +6,24 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.staging import shared_dir
+from ..functions.staging import shared_dir, staged, unstage, work_dir  # noqa: F401  used by the operators
 
 #: Rows of one Arrow batch sent to Python; with whole texts this keeps a worker's batch to a few MB.
 BATCH_ROWS = 500
 
 
 def ready(spark: SparkSession) -> None:
-    """Settle the session for Python stages: small Arrow batches, and the package on the workers' path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Settle the session for Python stages: the package on the workers' path, and small Arrow batches unless it has smaller ones.
+
+    The size of batches is read when a lazy result is computed at last, so it can't be put back here; no result depends on it.
+    """
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = Path(__file__).resolve().parents[2]
     on_path = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)] + [Path.cwd()]
     sc = spark.sparkContext
@@ -31,26 +34,6 @@ def ready(spark: SparkSession) -> None:
         sc._braid_shipped = True
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/braid/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._braid_path = path
-    return out
-
-
-def unstage(*frames: DataFrame) -> None:
-    """Remove what staged() wrote, once nothing will read it again."""
-    for df in frames:
-        path = getattr(df, "_braid_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

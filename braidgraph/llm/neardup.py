@@ -26,8 +26,8 @@ BANDS, ROWS = 40, 6  #: 240 coordinates; at similarity 0.8 a pair shares no band
 #: Rank from which the first cell of darts doubles: fine enough for texts of some hundred thousand words.
 FINEST = 6
 ELEMENT_BITS = 52
-#: Cells of darts that are looked at together.
-BLOCK = 100_000
+#: Cells of darts that are looked at together, and digests of texts that a task remembers.
+BLOCK, REMEMBERED = 100_000, 200_000
 _UNIT = 1 / float(1 << 53)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -40,8 +40,10 @@ def shingles(texts: list[str], weigh: str = "set") -> tuple[np.ndarray, np.ndarr
     """(text index, element, weight) of the distinct runs of five words, lower case, marks ignored; sorted.
 
     A text of one to four words has them all as its only element. weigh: 'set' gives weight 1, 'count' the number of
-    times the run occurs.
+    times the run occurs. The text index takes the bits beside the element: chunks() keeps it small enough.
     """
+    if len(texts) > 1 << (64 - ELEMENT_BITS):
+        raise ValueError("too many texts in one call")
     h, doc = textfeat.tokens(texts, words_only=True)
     n = np.bincount(doc, minlength=len(texts)) if len(h) else np.zeros(len(texts), int)
     run = np.zeros(max(0, len(h) - WORDS + 1), np.uint64)
@@ -139,45 +141,62 @@ def text_node(text: Column, salt: int) -> Column:
 
 
 def banded(docs: DataFrame, weigh: str, bands: int, rows: int) -> DataFrame:
-    """doc_id, full (the text's 128-bit digest), size (number of elements) and bands; null texts left out."""
+    """doc_id, full (the text's 128-bit digest), size (number of elements) and bands; null texts left out.
+
+    A text that a task has met already comes without size and bands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for b in batches:
-            sizes, lists = [], []
-            for _, part in textfeat.chunks(b.column("text").to_pylist()):
+            full = b.column("full").to_pylist()
+            new = []
+            for i, f in enumerate(full):
+                if f not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(f)
+                    new.append(i)
+            sizes, lists = [None] * len(full), [None] * len(full)
+            at = iter(new)
+            for _, part in textfeat.chunks(b.column("text").take(pa.array(new, pa.int64())).to_pylist()):
                 doc, element, weight = shingles(part, weigh)
                 n = np.bincount(doc, minlength=len(part))
                 h = band_hashes(dart_signatures(doc, element, weight, len(part), bands * rows), bands, rows)
-                sizes += n.tolist()
-                lists += [x if m else [] for x, m in zip(h.tolist(), n.tolist(), strict=True)]
+                for x, m in zip(h.tolist(), n.tolist(), strict=True):
+                    i = next(at)
+                    sizes[i], lists[i] = m, x if m else []
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("full"), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "full", "size", "bands"])
 
     schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType)]).add("full", "string").add("size", "integer").add("bands", ArrayType(LongType()))
     return docs.where("text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("full"), "text").mapInArrow(run, schema)
 
 
-#: Bits of the filter that is sent to all tasks to skip texts without candidates: 8 MB, whatever the input's size.
-FILTER_BITS = 26
+#: Bits of the filter that is sent to all tasks to skip texts without candidates: 16 for each candidate, within these limits (powers
+#: of two; 32 MB at most). Beyond 16 million candidates more false hits pass it, at worst every text once; the join drops them.
+FILTER_BITS = (16, 28)
 
 
 def bit_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit for each node, by its low bits. Bounded: at most 2^20 words of 64 bits reach the driver."""
-    place = F.col("node").bitwiseAND((1 << FILTER_BITS) - 1)
-    words = nodes.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast((node & {(1 << FILTER_BITS) - 1}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    """A bit for each node, by its low bits, in words of 64: at most 2^22 of them reach the driver."""
+    wanted = int(np.ceil(np.log2(16 * max(1, nodes.count()))))
+    low = (1 << min(max(wanted, FILTER_BITS[0]), FILTER_BITS[1])) - 1
+    place = F.col("node").bitwiseAND(low)
+    words = nodes.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros((low + 1) >> 6, np.uint64)
     out[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
 def element_sets(docs: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
-    """node and its elements (sorted 32-bit integers) for at least the given nodes, one row each."""
+    """node and its elements (sorted 64-bit integers) for the given nodes, one row each."""
     ready(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(nodes))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(nodes))  # bounded by FILTER_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node = b.column("node").to_numpy()
-            low = node & ((1 << FILTER_BITS) - 1)
+            low = node & (64 * len(shared.value) - 1)
             hit = np.flatnonzero((shared.value[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1))
             if not len(hit):
                 continue
@@ -186,8 +205,7 @@ def element_sets(docs: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
             for _, part in textfeat.chunks(b.column("text").to_pylist()):
                 doc, element, _ = shingles(part)
                 cut = np.searchsorted(doc, np.arange(len(part) + 1))
-                low32 = (element & np.uint64(0xFFFFFFFF)).astype("<u4")
-                sets += [np.unique(low32[cut[i] : cut[i + 1]]).tobytes() for i in range(len(part))]
+                sets += [element[cut[i] : cut[i + 1]].astype("<u8").tobytes() for i in range(len(part))]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "x"])
 
     rows = docs.where("text is not null").select(text_node(F.col("text"), salt).alias("node"), "text").mapInArrow(run, "node long, x binary")
@@ -206,7 +224,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         for t in batches:
             keep = []
             for i, (x, y) in enumerate(zip(t.column("xa").to_pylist(), t.column("xb").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 z = np.sort(np.concatenate([x, y]), kind="stable")
                 common = int((z[1:] == z[:-1]).sum())
                 if common >= least * (len(x) + len(y) - common) - 1e-9:
@@ -252,8 +270,8 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
-#: Members of a block, whose pairs are looked at together with those of another block; and elements at a time.
-BLOCK_MEMBERS, BLOCK_ELEMENTS = 256, 8192
+#: Members of a block and elements of all of them together, about; pairs of two blocks are looked at in one go. Elements at a time.
+BLOCK_MEMBERS, BLOCK_SUM, BLOCK_ELEMENTS = 256, 2_000_000, 8192
 
 
 def shared_elements(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -281,14 +299,16 @@ def shared_elements(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def crowded(open_: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The links (a, b) among all pairs of members of different classes in each bucket: open_ has band, node, n and comp.
+    """The links (a, b) among all pairs of members of different classes in each bucket: open_ has band, node and comp.
 
     A bucket's members are dealt into blocks, and every two blocks meet in a group of their own. A pair that shares several
     buckets is compared in the first of its bands only.
     """
-    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    sized = open_.join(nodes.select("node", "bands", "size"), "node")
+    blocks = F.col("blocks")
+    need = sized.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("size") / BLOCK_SUM)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")
-    full = open_.join(nodes.select("node", "bands"), "node").join(sets.select("node", "x"), "node")
+    full = sized.join(need, "band").join(sets.select("node", "x"), "node")
     other = full.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
     met = other.select("band", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "comp", "bands", "x")
 
@@ -306,7 +326,7 @@ def crowded(open_: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -
             for k in range(int(np.flatnonzero(bands[0] == band)[0])):  # met in an earlier band
                 wanted &= bands[sides[0], k][:, None] != bands[sides[1], k][None, :]
             if wanted.any():
-                x = [[np.frombuffer(e, "<u4") for e in t.column("x").take(pa.array(side)).to_pylist()] for side in sides]
+                x = [[np.frombuffer(e, "<u8") for e in t.column("x").take(pa.array(side)).to_pylist()] for side in sides]
                 common = shared_elements(*x)
                 size = [np.array([len(e) for e in side]) for side in x]
                 hit = wanted & (common >= least * (size[0][:, None] + size[1][None, :] - common) - 1e-9)
@@ -317,21 +337,29 @@ def crowded(open_: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -
     return met.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, least: float = 0.8, weigh: str = "set", bands: int = BANDS, rows: int = ROWS, rounds: int = 4, small: int = 16) -> tuple[DataFrame, int]:
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (node, comp) after more links: only the classes that these touch are worked on."""
+    of = lambda x, c: comp.select(F.col("node").alias(x), F.col("comp").alias(c))
+    ends = links.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    more = components(ends.where("a != b"))
+    old = comp.join(more.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    return staged(old.unionByName(more.join(comp.select("node"), "node", "left_anti").select("node", "comp")), "comp")
+
+
+def classes(docs: DataFrame, least: float = 0.8, weigh: str = "set", bands: int = BANDS, rows: int = ROWS, small: int = 16) -> tuple[DataFrame, int]:
     """Table of node, comp (its class), class_id (smallest doc_id of the class), class_size; and the salt that makes nodes of texts.
 
-    Members of a bucket are first compared with one of them, the same for all buckets of a class. Where a bucket still
-    holds several classes, small buckets compare all their members of different classes, and large ones turn to other
-    members, first the one with most links, in at most `rounds` turns. Large buckets that are mixed even then compare
-    all their members of different classes as well, so that every two texts that share a bucket end in one class or have
-    been compared.
+    Members of a bucket are first compared with one of them, the same for all buckets of a class. Where a bucket then
+    still holds several classes, up to `small` members are all compared with one another, and more of them with the
+    member that has most links. What is mixed even then compares all its members of different classes, in blocks. So
+    every two texts that share a bucket end in one class or have been compared, whatever the sizes of buckets.
     """
     ready(docs.sparkSession)
-    signed = staged(banded(docs, weigh, bands, rows).groupBy("full").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "signed")
+    signed = staged(banded(docs, weigh, bands, rows).groupBy("full").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("size", True).alias("size"), F.first("bands", True).alias("bands")), "signed")
     salt = 0
     while signed.groupBy(F.xxhash64("full", F.lit(salt))).count().where("count > 1").limit(1).count():
         salt += 1  # two texts with one id: take other ids
-    nodes = signed.select(F.xxhash64("full", F.lit(salt)).alias("node"), "first", "copies", "bands")
+    nodes = signed.select(F.xxhash64("full", F.lit(salt)).alias("node"), "first", "copies", "size", "bands")
     bucket = nodes.select("node", F.explode("bands").alias("band"))
     several = bucket.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
     multi = staged(bucket.join(several, "band"), "multi")
@@ -341,50 +369,42 @@ def classes(docs: DataFrame, least: float = 0.8, weigh: str = "set", bands: int
     links = staged(verified(tried, sets, least), "links")
     comp = components(links)
 
-    def open_buckets(least_n: int, turn: int) -> DataFrame:
-        """Members with their present class, in the buckets of more than least_n that hold more than one; and a hub for each."""
-        now = multi.where(F.col("n") > least_n).select("band", "node", "n", F.col("hub").alias("hub0")).join(comp, "node", "left").select("band", "node", "n", "hub0", F.coalesce("comp", "node").alias("comp"))
-        if turn == 1:
-            degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
-            now = now.join(degree, "node", "left")
-            rank = F.struct(F.col("node") == F.col("hub0"), -F.coalesce("d", F.lit(0)), "node")
-            hub = F.min_by("node", rank)
-        else:
-            hub = F.min(F.col("node").bitwiseXOR(F.xxhash64(F.lit(turn)))).bitwiseXOR(F.xxhash64(F.lit(turn)))
-        mixed = now.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), hub.alias("hub")).where("c0 != c1").select("band", "hub")
-        return staged(now.select("band", "node", "n", "comp").join(mixed, "band"), "open")
-
-    for turn in range(1, rounds):
-        # all pairs of small buckets are compared in the first turn
-        open_ = open_buckets(0 if turn == 1 else small, turn)
-        few = open_.where(F.col("n") <= small)
-        other = few.select("band", F.col("node").alias("hub2"), F.col("comp").alias("comp2"))
-        close = pair(few.join(other, "band").where("node < hub2 and comp != comp2"), "node", "hub2")
-        wide = pair(open_.where(F.col("n") > small), "node", "hub")
-        new = staged(close.union(wide).distinct().join(tried, ["a", "b"], "left_anti"), "new")
-        if new.limit(1).count() == 0:
-            break
-        found = staged(verified(new, sets, least), "found")
-        tried = tried.union(new)
-        if found.limit(1).count():
-            links = links.union(found)
-            comp = components(links)
-    left = open_buckets(small if rounds > 1 else 0, rounds)
+    def mixed(hub: Column, extra: DataFrame | None = None) -> DataFrame:
+        """Members with their present class, of the buckets that hold more than one; and a hub for each."""
+        now = multi.join(comp, "node", "left").select("band", "node", "n", F.col("hub").alias("hub0"), F.coalesce("comp", "node").alias("comp"))
+        now = now if extra is None else now.join(extra, "node", "left")
+        several = now.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), hub.alias("hub")).where("c0 != c1").select("band", "hub")
+        return staged(now.select("band", "node", "n", "comp").join(several, "band"), "open")
+
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    rank = F.struct(F.col("node") == F.col("hub0"), -F.coalesce("d", F.lit(0)), "node")
+    open_ = mixed(F.min_by("node", rank), degree)
+    few = open_.where(F.col("n") <= small)
+    other = few.select("band", F.col("node").alias("hub2"), F.col("comp").alias("comp2"))
+    close = pair(few.join(other, "band").where("node < hub2 and comp != comp2"), "node", "hub2")
+    wide = pair(open_.where(F.col("n") > small), "node", "hub")
+    found = staged(verified(close.union(wide).distinct().join(tried, ["a", "b"], "left_anti"), sets, least), "found")
+    if found.limit(1).count():
+        comp = joined(comp, found)
+    left = mixed(F.min("node")).where(F.col("n") > small)
     if left.limit(1).count():
-        found = staged(crowded(left, nodes, sets, least), "found")
-        if found.limit(1).count():
-            comp = components(links.union(found))
+        more = staged(crowded(left, nodes, sets, least), "found")
+        if more.limit(1).count():
+            comp = joined(comp, more)
     of = nodes.join(comp, "node", "left").select("node", "first", "copies", F.coalesce("comp", "node").alias("comp"))
     named = of.groupBy("comp").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    return staged(of.join(named, "comp").select("node", "comp", "class_id", "class_size"), "classes"), salt
+    out = staged(of.join(named, "comp").select("node", "comp", "class_id", "class_size"), "classes")
+    unstage(signed, multi, sets, tried, links, open_, found, left)
+    return out, salt
 
 
 def duplicate_classes(docs: DataFrame, **settings: object) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), class_size of every document.
 
     Equal texts share a class, and so do texts linked by similar ones. Null texts are classes of their own; texts
-    without a word join equal texts only. Rows with a null doc_id count as members but name a class only if all are
-    null. Repeated rows get a row each; an empty table gives an empty result; extra columns are ignored.
+    without a word, the empty one among them, join equal texts only; very long texts are taken whole. Rows with a null
+    doc_id count as members but name a class only if all are null. A similarity of exactly 0.8 counts. Repeated rows get
+    a row each; an empty table gives an empty result; extra columns are ignored.
     """
     d = docs.select("doc_id", "text")
     table, salt = classes(d, **settings)
@@ -393,7 +413,11 @@ def duplicate_classes(docs: DataFrame, **settings: object) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, **settings: object) -> DataFrame:
-    """The rows of docs, unchanged: of each class the one with the smallest doc_id, and all null texts."""
+    """The rows of docs, unchanged: of each class the one with the smallest doc_id, and all null texts.
+
+    Where ids repeat or are null, so that the smallest is no single row, any one row of the class stays. Empty and
+    wordless texts are classes of equal texts; all columns come back, whatever their names; no rows give no rows.
+    """
     table, salt = classes(docs.select("doc_id", "text"), **settings)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("_id"), text_node(F.col("text"), salt).alias("node"))
     kept = rows.join(table, "node", "left").where(F.col("node").isNull() | F.col("_id").eqNullSafe(F.col("class_id")))

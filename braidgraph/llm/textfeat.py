@@ -7,8 +7,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Characters of the texts handled in one go; a longer text is a chunk of its own.
-CHUNK_CHARS = 600_000
+#: Characters and texts handled in one go; a longer text is a chunk of its own.
+CHUNK_CHARS, CHUNK_TEXTS = 600_000, 4096
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.array([0, 0x51ED270B7A3C1F4D, 0x2545F4914F6CDD1D, 0x6C62272E07BB0142], np.uint64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -33,11 +33,11 @@ def classes() -> np.ndarray:
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """(first index, texts) of about CHUNK_CHARS each; null becomes the empty text."""
+    """(first index, texts) of about CHUNK_CHARS and at most CHUNK_TEXTS each; null becomes the empty text."""
     first, size, part = 0, 0, []
     for i, t in enumerate(texts):
         t = t or ""
-        if part and size + len(t) > CHUNK_CHARS:
+        if part and (size + len(t) > CHUNK_CHARS or len(part) == CHUNK_TEXTS):
             yield first, part
             first, size, part = i, 0, []
         part.append(t)

@@ -126,12 +126,35 @@ def test_copies_that_resemble_only_their_base(spark):
     assert all(len(base & x) >= 0.8 * len(base | x) for x in (shingles(t) for _, t in rows))  # so all are one class
     assert {r.class_id for r in neardup.duplicate_classes(docs).collect()} == {0}
     few, alone = docs.where("doc_id <= 120"), docs.where("doc_id between 1 and 120")
-    for part, settings in ((few, {"rounds": 1}), (alone, {})):
-        got = neardup.duplicate_classes(part, **settings)
+    for part in (few, alone):
+        got = neardup.duplicate_classes(part)
         assert {r.doc_id: r.class_id for r in got.collect()} == brute([r for r in rows if r[0] <= 120 and (r[0] or part is few)])
 
 
+def test_pairs_in_crowded_buckets(spark):
+    """A thousand pairs just above the limit, all of whose texts share a passage: no link may be lost."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(7))
+    common, rows = [word() for _ in range(100)], []
+    for _ in range(1000):
+        own = [word() for _ in range(104)]
+        rows.append((len(rows), " ".join(common + own)))
+        rows.append((len(rows), " ".join(common + own[:84] + [word() for _ in range(20)])))
+    sets = [shingles(t) for _, t in rows]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    got = neardup.duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == {i: i - i % 2 for i in range(2000)}
+
+
+def test_equal_texts_of_one_task_and_many_short_ones(spark):
+    rows = [(i, f"a text of some words with number {i // 3} at its end") for i in range(15_000)]
+    got = neardup.duplicate_classes(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1))
+    one = {r.doc_id: r.class_size for r in got.collect()}
+    assert len(one) == 15_000 and all(n >= 3 for n in one.values())
+    assert {i for i, _ in neardup.textfeat.chunks(["x"] * 10_000)} == {0, 4096, 8192}
+
+
 def test_shared_elements():
     rnd = np.random.default_rng(2)
-    x, y = ([np.unique(rnd.integers(0, top, n)).astype("<u4") for n in (0, 1, 50, 30_000)] for top in (20_000, 40_000))
+    x, y = ([np.unique(rnd.integers(0, top, n)).astype("<u8") for n in (0, 1, 50, 30_000)] for top in (20_000, 40_000))
     assert neardup.shared_elements(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
