@@ -3,8 +3,7 @@
 A text is cut where no vocabulary piece can span, and each part is encoded by backtracking: take the longest piece at
 the position (Aho-Corasick matches), accept it if merging the two neighbouring tokens' characters again keeps their
 border, else try its next shorter prefix, and step back when nothing fits; a bitfield remembers positions from which
-no encoding goes on. Pieces whose scores tie (runs of blanks) have no order of merges by score alone, so parts with two
-blanks in a row are merged symbol by symbol instead, which gives the same result by definition.
+no encoding goes on. Merges of equal score (runs of blanks) go by place, the left one first, in the pair checks as well.
 """
 
 from __future__ import annotations
@@ -156,7 +155,12 @@ class Coder:
         return known[token]
 
     def fits(self, a: int, b: int) -> bool:
-        """Whether merging the characters of tokens a and b again leaves exactly a and b."""
+        """Whether merging the characters of tokens a and b again leaves exactly a and b.
+
+        Symbols x of a and y of b meet at the border. Their union is merged if its turn comes before x and before y are
+        used up inside their tokens; of equal scores the left place goes first: a's own merge before the border's, and
+        the border's before b's.
+        """
         key = a * len(self.length) + b
         known = self.pairs.get(key)
         if known is None:
@@ -207,22 +211,18 @@ class Coder:
                 last = out[-1] if out else -1
 
     def part(self, s: str) -> bytes:
-        out: list[int] = []
-        if self.alphabet.issuperset(s) and SPACE * 2 not in s:
+        if self.alphabet.issuperset(s):
             return array("I", self.backtrack(s)).tobytes()
-        if SPACE * 2 in s:
-            for p in merged(s, self.t, self.ids):
-                out += [self.ids[p]] if p in self.ids else [self.byte[b] for b in p.encode()]
-        else:
-            at = 0
-            for i, c in enumerate(s):
-                if c not in self.ids:
-                    if at < i:
-                        out += self.backtrack(s[at:i])
-                    out += [self.byte[b] for b in c.encode()]
-                    at = i + 1
-            if at < len(s):
-                out += self.backtrack(s[at:])
+        out: list[int] = []
+        at = 0
+        for i, c in enumerate(s):
+            if c not in self.ids:
+                if at < i:
+                    out += self.backtrack(s[at:i])
+                out += [self.byte[b] for b in c.encode()]
+                at = i + 1
+        if at < len(s):
+            out += self.backtrack(s[at:])
         return array("I", out).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
@@ -342,6 +342,8 @@ def digests(docs: DataFrame, model: str, keep: list[str]) -> DataFrame:
 def token_digests(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document.
 
-    Null texts count as empty; repeated rows get a row each; extra columns are ignored; no rows give no rows.
+    Null texts count as empty: begin and end ids, and the empty text. Very long texts are encoded whole, part by part.
+    Merges of equal score go by place, so ties have one result. Repeated rows get a row each; extra columns are ignored;
+    no rows give no rows.
     """
     return digests(docs.select(F.col("doc_id"), F.col("text")), model, ["doc_id"])

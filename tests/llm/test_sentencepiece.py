@@ -36,6 +36,16 @@ def test_random_texts(both):
         same(both, "".join(rnd.choice(pieces[259:]) for _ in range(rnd.randint(1, 8))).replace("▁", rnd.choice([" ", "▁"])))
 
 
+def test_runs_of_blanks(both):
+    """Blank pieces have equal scores, so their merges go by place."""
+    for n in [*range(70), 1000, 50_001]:
+        same(both, " " * n)
+        same(both, "x" + " " * n + "the")
+    rnd = random.Random(14)
+    for _ in range(3000):
+        same(both, "".join(rnd.choice(["a", "the", "x", ".", "\n", "=", "é", "😀", " " * rnd.randint(1, 40), " "]) for _ in range(rnd.randint(1, 25))))
+
+
 def test_any_ids_decode(both):
     rnd = random.Random(12)
     for _ in range(1500):
@@ -55,11 +65,15 @@ def test_pair_check_is_remerging(both):
     """Two tokens fit exactly if merging their characters gives them back."""
     ours = both[0]
     rnd = random.Random(13)
-    usable = [i for p, i in ours.reach.items() if "▁▁" not in p]
+    usable = [*ours.reach.values()]
     for _ in range(3000):
         a, b = rnd.choice(usable), rnd.choice(usable)
         x, y = ours.t.pieces[a], ours.t.pieces[b]
-        if "▁▁" not in x + y:
+        assert ours.fits(a, b) == (sp_encode.merged(x + y, ours.t, ours.ids) == [x, y]), (x, y)
+    blanks = [i for p, i in ours.reach.items() if "▁▁" in p]
+    for a in blanks:
+        for b in [*blanks, *rnd.sample(usable, 200)]:
+            x, y = ours.t.pieces[a], ours.t.pieces[b]
             assert ours.fits(a, b) == (sp_encode.merged(x + y, ours.t, ours.ids) == [x, y]), (x, y)
 
 
