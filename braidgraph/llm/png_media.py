@@ -69,6 +69,8 @@ def read_png(image: bytes) -> np.ndarray:
         if len(data) < n or image[at + 8 + n : at + 12 + n] != struct.pack(">I", zlib.crc32(kind + data)):
             raise BadImage(f"checksum of chunk {kind!r}")
         if kind == b"IHDR":
+            if n != 13:
+                raise BadImage("size of the header")
             head = struct.unpack(">IIBBBBB", data)
         elif kind == b"IDAT":
             body.append(data)
@@ -76,15 +78,18 @@ def read_png(image: bytes) -> np.ndarray:
         at += 12 + n
     if head is None or not ended:
         raise BadImage("header or end is missing")
-    width, height, depth, colour, _, _, lace = head
-    if depth != 8 or colour not in (0, 2, 6) or lace:
+    width, height, depth, colour, packing, filters, lace = head
+    if not width or not height:
+        raise BadImage("no pixels")
+    if depth != 8 or colour not in (0, 2, 6) or packing or filters or lace:
         raise BadImage("only plain 8-bit grey, RGB and RGBA")
     bpp = {0: 1, 2: 3, 6: 4}[colour]
-    try:
-        raw = zlib.decompress(b"".join(body))
+    size, stream = height * (width * bpp + 1), zlib.decompressobj()
+    try:  # never more than the header promises, and a byte to see that there is more
+        raw = stream.decompress(b"".join(body), size + 1)
     except zlib.error as e:
         raise BadImage(str(e)) from None
-    if len(raw) != height * (width * bpp + 1):
+    if len(raw) != size or not stream.eof:
         raise BadImage("size of the image data")
     lines = np.frombuffer(raw, np.uint8).reshape(height, width * bpp + 1)
     return unfiltered(lines[:, 0], lines[:, 1:], bpp).reshape(height, width, bpp)
@@ -191,7 +196,9 @@ def features(images: DataFrame, keep: list[str]) -> DataFrame:
 def media_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every document.
 
-    Null texts count as empty; repeated rows get a row each; extra columns are ignored; no rows give no rows.
+    Null texts count as empty: one row of blanks. Very long texts are stored whole, in one image of as many rows as they
+    take. Frequencies equal to the median count as low. Repeated rows get a row each with equal values; extra columns are
+    ignored; no rows give no rows.
     """
     stored = media(docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", "n_bytes", F.length("image").cast("long").alias("media_bytes"), F.sha2("image", 256).alias("media_sha256"), "image")
     got = features(stored, ["doc_id", "n_bytes", "media_bytes", "media_sha256"])

@@ -52,6 +52,47 @@ def test_damage_is_noticed():
             png.read_png(image[:n])
 
 
+def image_of(head, data=b"\0" * 10):
+    return png.SIGNATURE + png.chunk(b"IHDR", head) + png.chunk(b"IDAT", zlib.compress(data)) + png.chunk(b"IEND", b"")
+
+
+def test_images_that_promise_too_much(spark):
+    good = struct.pack(">IIBBBBB", 3, 1, 8, 2, 0, 0, 0)
+    assert png.read_png(image_of(good)).shape == (1, 3, 3)
+    bad = [good[:12], good + b"x", b""] + [struct.pack(">IIBBBBB", *x) for x in ((3, 0, 8, 2, 0, 0, 0), (0, 1, 8, 2, 0, 0, 0), (3, 1, 8, 2, 1, 0, 0), (3, 1, 8, 2, 0, 1, 0), (3, 1, 8, 2, 0, 0, 1), (3, 2, 8, 2, 0, 0, 0), (2, 1, 8, 2, 0, 0, 0), (3, 1, 16, 2, 0, 0, 0))]
+    images = [image_of(h) for h in bad] + [image_of(good, b"\0" * 50_000_000)]
+    rows = png.features(spark.createDataFrame(list(enumerate(images)), "i int, image binary"), ["i"]).collect()
+    assert len(rows) == len(images) and all(r.problem and r.feature is None for r in rows)
+
+
+def plain_hash(pixels):
+    """The feature by its definition, with loops."""
+    import math
+
+    grey = [[(299 * r + 587 * g + 114 * b) // 1000 for r, g, b in row] for row in pixels.tolist()]
+
+    def shrink(rows):
+        out = []
+        for i in range(32):
+            a, b = i * len(rows) // 32, (i + 1) * len(rows) // 32
+            part = rows[a:b] if len(rows) >= 32 else [rows[a]]
+            out.append([sum(x) * 256 // len(part) for x in zip(*part, strict=True)])
+        return out
+
+    turn = lambda m: [list(x) for x in zip(*m, strict=True)]
+    small = [[v // 256 for v in row] for row in turn(shrink(turn(shrink(grey))))]
+    base = [[round(4096 * math.cos(math.pi * u * (2 * x + 1) / 64)) for x in range(32)] for u in range(8)]
+    low = [sum(base[u][y] * base[v][x] * small[y][x] for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    return f"{int(''.join('1' if v > middle else '0' for v in low), 2):016x}"
+
+
+@pytest.mark.parametrize("rows", [1, 7, 31, 32, 33, 100])
+def test_hash_by_definition(rows):
+    pixels = np.random.default_rng(rows).integers(0, 256, (rows, 64, 3)).astype(np.uint8)
+    assert png.cosine_hash(pixels) == plain_hash(pixels)
+
+
 def test_hash():
     a = np.random.default_rng(1).integers(0, 256, (40, 64, 3)).astype(np.uint8)
     b = a.copy()
