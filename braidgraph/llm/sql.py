@@ -47,9 +47,9 @@ class as (select a as doc_id, min(b) as class_id from reach group by a),
 size as (select class_id, count(*) as class_size from class group by class_id)
 select doc_id, class_id, class_size from class join size using (class_id) union all select doc_id, doc_id, 1 from documents where text is null"""
 
-NEIGHBOURS = """with v as (select vec_id, cast(embedding as double[]) as v from embeddings),
+NEIGHBOURS = """with v as (select vec_id, cast(embedding as double[]) as v, row_number() over () as r from embeddings),
 ok as (select * from v where v is not null and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
-pairs as (select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b)) as score from ok q join ok c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 100 = 0),
+pairs as (select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b)) as score from ok q join ok c on q.r <> c.r and len(q.v) = len(c.v) where q.vec_id % 100 = 0),
 ranked as (select *, cast(row_number() over (partition by query_id order by score, vec_id) as integer) as rank from pairs)
 select query_id, rank, vec_id, score from ranked where rank <= 10"""
 
