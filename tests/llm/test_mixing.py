@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -70,8 +71,6 @@ def test_word_count(spark):
 
 def test_tilt(documents):
     """Rates fall or rise with size by one multiplier a source, within the cap."""
-    import math
-
     one = mixing.mix(documents.where("source = 'src1' or source = 'src2'")).where("size > 0 and rate < 2.999").collect()
     by = {}
     for r in one:
@@ -79,6 +78,64 @@ def test_tilt(documents):
     assert all(len(x) == 1 for x in by.values())
 
 
+def plain_rates(counts, target, cap=3.0):
+    """By size: the tilted rates that meet the target, by halving alone."""
+    take = lambda t: sum(n * s * min(cap, math.exp(min(50.0, t * s))) for s, n in counts.items())
+    low, high = -100.0, 100.0
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if take(mid) < target else (low, mid)
+    return {s: min(cap, math.exp(min(50.0, low * s))) for s in counts}
+
+
+def test_rates_and_copies_by_brute_force(spark):
+    """Rates against halving, and who gets the extra copies: the smallest hashes of doc_id."""
+    import random
+
+    rnd = random.Random(4)
+    rows = [(i, " ".join("w" * rnd.choice([1, 2, 5, 5, 9, 40, 300])), rnd.choice(["a", "b", "b", "c", "d", None])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    got = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    for source in ("a", "b", "c", "d", None):
+        own = [i for i, _, s in rows if s == source]
+        counts = {}
+        for i in own:
+            counts[got[i].size] = counts.get(got[i].size, 0) + 1
+        target = got[own[0]].target
+        want = {s: 3.0 for s in counts} if target >= 3 * got[own[0]].source_size * (1 - 1e-12) else plain_rates(counts, target)
+        carry = 0.0
+        for s in sorted(counts, reverse=True):
+            same = sorted((i for i in own if got[i].size == s), key=hashes.get)
+            assert all(got[i].rate == pytest.approx(want[s], rel=1e-9) for i in same)
+            part = len(same) * (want[s] - int(want[s] + 1e-9))
+            extra = min(len(same), max(0, round(part + carry / s))) if part > 1e-9 else 0
+            carry += (part - extra) * s
+            assert [got[i].copies - int(want[s] + 1e-9) for i in same] == [1] * extra + [0] * (len(same) - extra)
+
+
+def test_one_id_for_all_rows(spark):
+    """Rows that hashes can't tell apart still fill their source's target."""
+    rows = [(7, "one two three", "a")] * 200 + [(8, "a b c d e f g", "b")] * 500 + [(9, "", "a"), (10, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    by, got = check(docs)
+    assert all(abs(taken - target) <= largest for taken, target, largest in by.values())
+    assert sorted(r.copies for r in got if r.size == 0) == [1, 1]
+    n = {r.doc_id: r["count"] for r in mixing.repeated(docs).groupBy("doc_id").count().collect()}
+    assert n == {7: sum(r.copies for r in got if r.doc_id == 7), 8: sum(r.copies for r in got if r.doc_id == 8), 9: 1, 10: 1}
+
+
+def test_many_sources_stop(spark):
+    rows = [(i, "w " * (1 + i % 40) * (1 + i % 7), f"s{i % 50:02d}") for i in range(400)] + [(1000, "w " * 50_000, "z")]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+
+
+def test_empty_tables_and_plans(none, documents):
+    assert mixing.repeated(none).count() == 0 and mixing.repeated(none).columns == none.columns
+    plan = mixing.repeated(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # texts are not sorted for a rank
+
+
 def test_repeated(odd):
     mixed = {}
     for r in mixing.mix(odd).collect():
