@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secrets import CLASSES, WINDOW
+from .secrets import ANY, DIGITS, HEXES, LETTERS, ONE_CASE, SCALE, WINDOW, WORDS, largest_sum
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+"""
 _ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$"""
@@ -16,18 +16,21 @@ def _found(kind: int, pattern: str, where: str) -> str:
             (select doc_id, regexp_extract_all(t, '{pattern}') as hits, regexp_split_to_array(t, '{pattern}') as gaps from d where regexp_matches(t, '{pattern}')))) where {where}"""
 
 
-_LIMIT = "case " + " ".join(f"when regexp_matches(m, '{p}') then {b}" for p, b in CLASSES) + " end"
+_CASES = [("[0-9]+", DIGITS), ("(?:[0-9a-f]+|[0-9A-F]+)", HEXES), ("[A-Za-z]+", LETTERS), ("(?:[A-Z0-9]+|[a-z0-9]+)", ONE_CASE), ("[A-Za-z0-9]+", WORDS)]
+_LIMIT = "case " + " ".join(f"when regexp_full_match(w, '{p}') then {largest_sum(b)}" for p, b in _CASES) + f" else {largest_sum(ANY)} end"
 SECRETS = f"""with d as (select doc_id, coalesce(text, '') as t, row_number() over () as rn from documents),
 base as ({_found(0, _ASSIGN, f"length(regexp_extract(m, '{_ASSIGN_VALUE}', 1)) >= 12")} union all {_found(1, "AKIA[A-Z0-9]+", "length(m) >= 18")} union all {_found(2, "[0-9a-f]+", "length(m) >= 16")}),
 long_ as ({_found(3, f"[A-Za-z0-9+/_=-]{{{WINDOW},}}", "true")}),
-kept as (select * from long_ where not regexp_matches(m, '(?i)^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$')
-    and not regexp_matches(m, '(?i)example|sample|placeholder|dummy|xxxx|your[_-]|changeme') and not regexp_matches(m, '(?i)abcdefghij|0123456789|qwertyuiop')
-    and not regexp_matches(m, '^[A-Za-z]+(?:[-_/=+]+[A-Za-z]+)+$') and len(list_filter(range(1, length(m) - 6), lambda i: m[i:i + 7] = repeat(m[i:i], 8))) = 0),
-win as (select doc_id, s, m, i, substr(m, cast(i + 1 as integer), {WINDOW}) as w from (select *, unnest(range(0, length(m) - {WINDOW - 1})) as i from kept)),
-chars as (select doc_id, s, m, i, unnest(string_split(w, '')) as c from win),
-counts as (select doc_id, s, m, i, c, count(*) as n from chars group by all),
-bits as (select doc_id, s, m, i, log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} as h from counts group by doc_id, s, m, i),
-dense as (select doc_id, 3 as k, s + min(i) as s, s + max(i) + {WINDOW} as e from bits where h >= {_LIMIT} group by doc_id, s, m),
+kept as (select doc_id, s, regexp_replace(m, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}', repeat(' ', 36), 'g') as m from long_),
+win as (select doc_id, s, i, substr(m, cast(i + 1 as integer), {WINDOW}) as w from (select *, unnest(range(0, length(m) - {WINDOW - 1})) as i from kept)),
+fair as (select * from win where not contains(w, ' ') and not regexp_matches(w, '(?i)example|sample|placeholder|dummy|xxxx|your[_-]|changeme') and not regexp_matches(w, '(?i)abcdefghij|0123456789|qwertyuiop')
+    and not regexp_full_match(w, '[-_/=+]*[A-Za-z]+(?:[-_/=+]+[A-Za-z]+)+[-_/=+]*') and len(list_filter(range(1, {WINDOW} - 6), lambda i: w[i:i + 7] = repeat(w[i:i], 8))) = 0),
+chars as (select doc_id, s, i, w, unnest(string_split(w, '')) as c from fair),
+counts as (select doc_id, s, i, w, c, count(*) as n from chars group by all),
+bits as (select doc_id, s, i, w, sum(cast(round(n * log2(n) * {SCALE}) as bigint)) as h from counts group by doc_id, s, i, w),
+hits as (select doc_id, s, i from bits where h <= {_LIMIT}),
+runs as (select *, sum(case when i - before < {WINDOW} then 0 else 1 end) over (partition by doc_id, s order by i) as run from (select *, lag(i, 1, -1000000) over (partition by doc_id, s order by i) as before from hits)),
+dense as (select doc_id, 3 as k, s + min(i) as s, s + max(i) + {WINDOW} as e from runs group by doc_id, runs.s, run),
 more as (select * from dense where not exists (select 1 from base b where b.doc_id = dense.doc_id and b.s <= dense.s and dense.e <= b.e)),
 spans as (select doc_id, k, s, e, (['assign', 'access', 'hex', 'entropy'])[k + 1] || ':' || s || ':' || e as x from (select doc_id, k, s, e from base union all select doc_id, k, s, e from more)),
 agg as (select doc_id, count(*) filter (where k = 0) as n_assign, count(*) filter (where k = 1) as n_access, count(*) filter (where k = 2) as n_hex, count(*) filter (where k = 3) as n_entropy,
