@@ -13,12 +13,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import textfeat
-from ._common import fold, ready, unit_hash
+from ._common import fold, ready, staged, unit_hash, unstage
 
 BITS = 13
 BANDS = 24  #: lengths by powers of two, for the rejection distance
@@ -75,23 +75,31 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarra
     return c
 
 
-def fit(labelled: DataFrame, per_language: int = 500, centroids: int = 4, seed: int = 5) -> Model:
-    """Learn from at most per_language texts of each language, drawn by hash of the text and doc_id.
+def fit(labelled: DataFrame, per_language: int = 500, centroids: int = 4, languages: int = 256, seed: int = 5) -> Model:
+    """Learn from at most per_language texts of each language, drawn by hash of doc_id.
 
-    labelled: doc_id, text, lang (null languages and null texts are left out). Each language is clustered in a task of
-    its own; the driver gets centroids and sums only.
+    labelled: doc_id, text, lang (null languages and null texts are left out). The `languages` values of lang with most
+    rows are learnt (of equally many, the first by code point), which bounds the model: centroids * 2^BITS floats each, 33
+    MB in all. Each language is clustered in a task of its own, whose rows are chosen before the exchange; the driver gets
+    centroids and sums only.
     """
     spark = labelled.sparkSession
     ready(spark)
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text", unit_hash(F.col("doc_id"), F.xxhash64("text"), F.lit(seed)).alias("u"))
-    n = {r["lang"]: r["n"] for r in labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # rows with one id and size are drawn together, so the text itself need not be hashed; the window bounds what is taken
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text", unit_hash(F.col("doc_id"), F.length("text"), F.lit(seed)).alias("u"))
+    n = {r["lang"]: r["n"] for r in labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not n:
         return Model([], np.zeros((0, 1 << BITS), np.float32), np.ones(1 << BITS, np.float32), np.zeros(BANDS))
     rates = F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, min(1.0, 1.3 * per_language / c))])
-    sample = rows.where(F.col("u") < rates[F.col("lang")])
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("u", "text"))
+    taken = lambda drawn: drawn.withColumn("_r", first).where(F.col("_r") <= per_language).drop("_r")
+    sample = staged(taken(rows.where(F.col("u") < F.coalesce(rates[F.col("lang")], F.lit(-1.0)))), "languages")
+    left = sorted({*n} - {r["lang"] for r in sample.select("lang").distinct().collect()})
+    if left:  # all rows of a language may share one id, and so be drawn or not together
+        sample = staged(sample.unionByName(taken(rows.where(F.col("lang").isin(left)))), "languages")
 
     def chosen(g: pd.DataFrame) -> list[str]:
-        return g.sort_values(["u", "text"])["text"].tolist()[:per_language]
+        return g.sort_values(["u", "text"])["text"].tolist()
 
     def frequency(g: pd.DataFrame) -> pd.DataFrame:
         df, texts = np.zeros(1 << BITS, np.int64), chosen(g)
@@ -124,13 +132,15 @@ def fit(labelled: DataFrame, per_language: int = 500, centroids: int = 4, seed:
     # a band takes the smallest of its own, the shorter and the longer one's nearest learnt value; a part of it is the limit
     known = np.flatnonzero(low < 9)
     least = np.array([low[known[np.argsort(np.abs(known - j))[:2]]].min() if len(known) else 0.0 for j in range(BANDS)])
+    unstage(sample)
     return Model(names, np.concatenate(rows_c or [np.zeros((0, 1 << BITS), np.float32)]), idf, REJECT * least)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns keep, lang_pred, score (the cosine), rejected.
 
-    Null texts and texts without a letter are `und`, score 0, rejected. With no language learnt all are so.
+    Null texts and texts without a letter are `und`, score 0, rejected. With no language learnt all are so. Of equal
+    cosines the first centroid counts: languages are in code point order.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -158,7 +168,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 def language_of(docs: DataFrame, parts: int = 3, out: int = 1) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every document; fold `out` of crc32(doc_id) is never learnt from.
 
-    Repeated rows get a row each; extra columns are ignored; an empty table gives an empty result.
+    Null and empty texts are `und` with score 0; very long texts count whole; equal cosines go to the first language by
+    code point. Repeated rows get a row each; extra columns are ignored; an empty table gives an empty result.
     """
     d = docs.select("doc_id", "text", "lang")
     model = fit(d.where(fold(F.col("doc_id"), parts) != out))
@@ -166,7 +177,11 @@ def language_of(docs: DataFrame, parts: int = 3, out: int = 1) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, parts: int = 3, out: int = 1) -> DataFrame:
-    """The rows of docs, unchanged, whose language is not rejected."""
+    """The rows of docs, unchanged, whose language is not rejected.
+
+    Null texts and texts without a letter go; very long texts count whole; null languages are only not learnt from. Ties
+    and repeated rows stay or go alike; all columns come back, whatever their names; no rows give no rows.
+    """
     model = fit(docs.select("doc_id", "text", "lang").where(fold(F.col("doc_id"), parts) != out))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
     return predict(rows, model, ["row"]).where(~F.col("rejected")).select("row.*")

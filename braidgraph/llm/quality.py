@@ -99,11 +99,11 @@ def train(x: list[np.ndarray], y: np.ndarray, share: dict[int, float], cost: flo
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 4000, seed: int = 7) -> Model:
-    """Train on at most `most` labelled documents of each class, chosen by a hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 4000, most_features: int = linear.MOST_FEATURES, seed: int = 7) -> Model:
+    """Train on at most `most` labelled documents of each class and most_features of their features, chosen by a hash of doc_id.
 
     labels: doc_id and the label (0 or 1; other values and nulls are left out; of repeated rows the smallest label
-    counts). Only the sampled texts reach the driver, as feature lists.
+    counts). Training runs in a task; the driver gets the model only.
     """
     ready(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
@@ -112,17 +112,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     # the sample is bounded by `most`, so broadcasting it is safe at any corpus size
     sample = known.where(unit_hash(F.col("doc_id"), F.lit(seed)) < rate)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    got = linear.featured(texts, ["doc_id", "y"]).toArrow()
-    rows = sorted(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), got["x"].to_pylist(), strict=True), key=lambda r: (hash_order(r[0], seed), r[2]))
-    x = [np.frombuffer(r[2], "<i4").astype(np.int64) for r in rows]
     total = sum(n.values()) or 1
-    return train(x, np.array([r[1] for r in rows], np.int64), {k: v / total for k, v in n.items()}, seed=seed)
-
-
-def hash_order(doc_id: int, seed: int) -> int:
-    from .textfeat import mix64
-
-    return int(mix64(np.array([doc_id + seed * 1_000_003], np.int64).astype(np.uint64))[0])
+    share = {k: v / total for k, v in n.items()}
+    return linear.learnt(texts, ["y"], seed, lambda rows, x: train(x, np.array([y for (y,) in rows], np.int64), share, seed=seed), most_features=most_features)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -134,8 +126,9 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, parts: int = 4, out: int = 2, at: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; the fold `out` of crc32(doc_id) is never learnt from.
 
-    Null texts count as empty; without usable labels every score is 0.5. Repeated rows get a row each, extra columns
-    of docs are ignored, an empty table gives an empty result.
+    Null texts count as empty and get the bias's score; without usable labels every score is 0.5. Very long texts count
+    whole; a score of exactly `at` is predicted 1; equal texts have equal scores. Repeated rows get a row each, extra
+    columns of docs are ignored, an empty table gives an empty result.
     """
     d = docs.select("doc_id", "text")
     seen = fold(F.col("doc_id"), parts) != out

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from . import linear
 from ._common import fold, ready, unit_hash
-from .quality import hash_order
 from .textfeat import mix64
 
 
@@ -100,10 +99,12 @@ def distinct(rows: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 4000, most_unlabelled: int = 12000, seed: int = 9) -> Model:
-    """Train on at most `most` confirmed positives and `most_unlabelled` texts of any standing, chosen by hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 4000, most_unlabelled: int = 12000, most_features: int = linear.MOST_FEATURES, seed: int = 9) -> Model:
+    """Train on at most `most` confirmed positives, `most_unlabelled` texts of any standing and most_features of their
+    features, chosen by hash of doc_id, in a task; the driver gets the model only.
 
-    The class prior is the share of positives among the labelled rows given.
+    The class prior is the share of positives among the labelled rows given. It holds for the corpus if rows were chosen
+    for labelling without regard to toxicity; where toxic texts were sought out it is too large, and scores come out high.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -114,18 +115,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 40
     drawn = unit_hash(F.col("doc_id"), F.lit(seed + 1)) < min(1.0, most_unlabelled / max(1, total))
     # the positives are bounded by `most`, so broadcasting them is safe at any corpus size
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", drawn.alias("u")).join(F.broadcast(positives), "doc_id", "left").where(F.col("u") | F.col("y").isNotNull())
-    got = linear.featured(texts, ["doc_id", "u", "y"], pairs=False).toArrow().to_pylist()
-    got.sort(key=lambda r: (hash_order(r["doc_id"], seed), r["x"]))
-    x = [np.frombuffer(r["x"], "<i4").astype(np.int64) for r in got]
-    positive, unlabelled = ([a for a, r in zip(x, got, strict=True) if r[c]] for c in ("y", "u"))
-    return risk_steps(distinct(positive), distinct(unlabelled), n[1] / max(1, n[0]))
+    prior = n[1] / max(1, n[0])
+
+    def learn(rows: list[tuple], x: list[np.ndarray]) -> Model:
+        positive, unlabelled = ([a for a, r in zip(x, rows, strict=True) if r[i]] for i in (0, 1))
+        return risk_steps(distinct(positive), distinct(unlabelled), prior)
+
+    return linear.learnt(texts, ["y", "u"], seed, learn, pairs=False, most_features=most_features)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, parts: int = 5, out: int = 0, at: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; the fold `out` of crc32(doc_id) is never learnt from.
 
-    Null texts count as empty and get the prior's score; without labels every score is low. Repeated rows get a row
-    each, extra columns of docs are ignored, an empty table gives an empty result.
+    Null texts count as empty and get the prior's score; without labels every score is low. Very long texts count whole;
+    a score of exactly `at` is predicted 1; equal texts have equal scores. Repeated rows get a row each, extra columns of
+    docs are ignored, an empty table gives an empty result.
     """
     d = docs.select("doc_id", "text")
     seen = fold(F.col("doc_id"), parts) != out
