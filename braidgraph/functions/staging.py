@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,12 +42,28 @@ def work_dir(spark: SparkSession) -> str:
     return path
 
 
+_open = threading.local()
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes at its end what staged() wrote within it: for work whose result is written elsewhere."""
+    outer, _open.frames = getattr(_open, "frames", None), []
+    try:
+        yield
+    finally:
+        frames, _open.frames = _open.frames, outer
+        unstage(*frames)
+
+
 def staged(df: DataFrame, name: str = "part") -> DataFrame:
     """df written as Parquet to the shared folder and read again: survives the loss of executors, unlike a cache."""
     path = f"{work_dir(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._braid_path = path
+    if getattr(_open, "frames", None) is not None:
+        _open.frames.append(out)
     return out
 
 
