@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from braidgraph.llm import langid, mixing, neardup, pii
+from braidgraph.llm._common import work_dir
 
 
 def test_stages_and_run(spark):
@@ -43,3 +45,28 @@ def test_odd(spark, odd):
         docs = stage(spark, docs, "")
         assert docs.columns == odd.columns
     assert corpus_pipeline.tokens(spark, docs, "").count() == docs.count()
+
+
+def files(path):
+    return sum(len(names) for _, _, names in os.walk(path))
+
+
+def test_empty_tables(spark, none, tmp_path):
+    docs = none
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == none.columns and docs.count() == 0
+    assert corpus_pipeline.tokens(spark, docs, "").count() == 0
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_on_odd_rows_leaves_one_table(spark, odd, tmp_path):
+    """Nulls, repeated rows and clashing names through run(); of what it wrote, only the last stage's input stays."""
+    odd.withColumnRenamed("a b", "ab").write.parquet(f"{tmp_path}/documents.parquet")
+    work = work_dir(spark)
+    before = set(os.listdir(work))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 0
+    left = [f"{work}/{x}" for x in set(os.listdir(work)) - before if files(f"{work}/{x}")]
+    assert len(left) == 1 and os.listdir(left[0]) == ["mixing"]
