@@ -21,6 +21,8 @@ from ._common import staged, unstage, word_count
 #: A hot (source, size) is split into so many parts, by ranges of its rows' keys, before rows are ranked.
 PARTS = 64
 SRC = ["_s", "_n"]  # the source, and whether it is null
+#: Up to so many decisions (a source and a size each, some 100 bytes) are sent to all tasks; more of them meet the rows by an exchange.
+SENT = 500_000
 
 
 def ranked(df: DataFrame, order: list[str], sums: dict[str, Column], name: str) -> DataFrame:
@@ -162,7 +164,8 @@ def with_copies(rows: DataFrame, source: str, size: str, key: list[str], weights
     """rows as the struct `row`, with size, source_size, target, rate, copies.
 
     key: columns that order rows of one source and size repeatably, by hash. Sizes must not be null. Whole rows are not
-    sorted: decisions are made on sizes and keys, and rows meet the table of decisions, one line for each source and size.
+    sorted: decisions are made on sizes and keys, and rows meet the table of decisions, one line for each source and size;
+    it is sent to the rows if its counted lines are few enough, however many rows there are.
     """
     src = F.col(source).cast("string")
     base = rows.select(
@@ -170,7 +173,7 @@ def with_copies(rows: DataFrame, source: str, size: str, key: list[str], weights
         F.col(size).alias("size"), F.xxhash64(*key).alias("_k"),
     )
     table = decided(staged(base.drop("row"), "keys"), weights, cap)
-    joined = base.join(table, [*SRC, "size"])
+    joined = base.join(F.broadcast(table) if table.count() <= SENT else table, [*SRC, "size"])
     extra = F.when(F.col("_k") < F.col("_edge"), 1).when((F.col("_k") == F.col("_edge")) & (F.col("_some") == F.col("_tied")), 1).otherwise(0)
     copies = F.floor("_rate") + F.coalesce(extra, F.lit(0))
     shown = lambda df, c: df.select("row", "size", "source_size", "target", F.col("_rate").alias("rate"), c.cast("int").alias("copies"))

@@ -133,7 +133,13 @@ def test_many_sources_stop(spark):
 def test_empty_tables_and_plans(none, documents):
     assert mixing.repeated(none).count() == 0 and mixing.repeated(none).columns == none.columns
     plan = mixing.repeated(documents)._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan  # texts are not sorted for a rank
+    assert "Window" not in plan and "Exchange hashpartitioning" not in plan  # texts are neither sorted for a rank nor exchanged
+
+
+def test_many_decisions_meet_rows_by_exchange(odd, monkeypatch):
+    want = sorted(map(str, mixing.repeated(odd).select("doc_id").collect()))
+    monkeypatch.setattr(mixing, "SENT", 0)
+    assert sorted(map(str, mixing.repeated(odd).select("doc_id").collect())) == want
 
 
 def test_repeated(odd):
