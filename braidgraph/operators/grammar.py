@@ -8,7 +8,7 @@ left to right gives.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import packing
@@ -16,28 +16,31 @@ from ..functions.staging import numbered, staged
 from . import traversal
 
 
-def replaced(steps: DataFrame, keys: list[str], rules: DataFrame) -> DataFrame:
-    """keys, pos, snode, rule: steps with rules (kmer, rule) applied; positions are those of the pairs' first symbols.
+class BadRules(ValueError):
+    """A rulebook that can't be written out."""
 
-    A pair found in reverse becomes the negative rule.
+
+def replaced(steps: DataFrame, keys: list[str], rules: DataFrame, block: int = traversal.BLOCK) -> DataFrame:
+    """keys, pos, snode, rule: steps (with dense positions) with rules (kmer, rule) applied; positions are those of the
+    pairs' first symbols.
+
+    A pair found in reverse becomes the negative rule. Islands are followed across blocks by the place at which they start.
     """
-    w = traversal.along(keys)
-    pair = steps.select(*keys, "pos", "snode", F.lead("snode").over(w).alias("_next"), F.row_number().over(w).alias("_rank"))
+    pair = traversal.beside(steps.select(*keys, "pos", "snode"), keys, F.col("snode"), "_next", 1, block)
     pair = pair.withColumn("kmer", F.when(F.col("_next").isNotNull(), packing.canonical(F.col("snode"), F.col("_next"))))
-    known = pair.join(rules.select("kmer", "rule"), "kmer", "left")
-    # a run of places at which some pair may be replaced
-    hits = known.where("rule is not null").withColumn("_island", F.col("_rank") - F.row_number().over(Window.partitionBy(*keys).orderBy("pos")))
-    picks = hits.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_island").orderBy("pos"))).where("_n % 2 = 1")
+    known = pair.join(rules.select("kmer", "rule"), "kmer", "left").withColumn("_hit", F.col("rule").isNotNull())
+    starts = traversal.beside(known, keys, F.col("_hit"), "_hit0", -1, block).withColumn("_start", F.when(F.col("_hit") & ~F.coalesce("_hit0", F.lit(False)), F.col("pos")))
+    island = traversal.running(starts, keys, "_start", "_from", block, F.max)
+    picked = island.withColumn("_pick", F.col("_hit") & ((F.col("pos") - F.col("_from")) % 2 == 0))
     forward = packing.pack(F.col("snode"), F.col("_next")) == F.col("kmer")
-    signs = picks.select(*keys, "pos", F.when(forward, F.col("rule")).otherwise(-F.col("rule")).alias("_new"))
-    marked = pair.select(*keys, "pos", "snode").join(signs, [*keys, "pos"], "left")
-    gone = F.lag(F.col("_new").isNotNull()).over(w)
-    return marked.withColumn("_gone", F.coalesce(gone, F.lit(False))).where("not _gone").select(*keys, "pos", F.coalesce("_new", "snode").alias("snode"), F.col("_new").isNotNull().alias("rule"))
+    out = traversal.beside(picked, keys, F.col("_pick"), "_gone", -1, block).where(~F.coalesce("_gone", F.lit(False)))
+    sign = F.when(forward, F.col("rule")).otherwise(-F.col("rule"))
+    return out.select(*keys, "pos", F.when(F.col("_pick"), sign).otherwise(F.col("snode")).alias("snode"), F.col("_pick").alias("rule"))
 
 
-def compacted(steps: DataFrame, keys: list[str]) -> DataFrame:
+def compacted(steps: DataFrame, keys: list[str], block: int = traversal.BLOCK) -> DataFrame:
     """steps with positions 0, 1, 2, ..."""
-    return steps.withColumn("pos", (F.row_number().over(traversal.along(keys)) - 1).cast("long"))
+    return traversal.running(steps.withColumn("_1", F.lit(1).cast("bigint")), keys, "_1", "_n", block).withColumn("pos", F.col("_n") - 1).drop("_1", "_n")
 
 
 def round_of(steps: DataFrame, keys: list[str], base: int, least: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -75,41 +78,48 @@ def encode(steps: DataFrame, keys: list[str], rounds: int = 8, delta: int = 1, l
     return now, book
 
 
-def leaves(rules: DataFrame, depth: int = 64) -> DataFrame:
-    """rule_id, leaf (array of symbols): each rule written out, children before parents."""
-    done = rules.select("rule_id", "first", "second")
-    ids = rules.select(F.col("rule_id").alias("_id"))
-    plain = done.withColumn("leaf", F.array("first", "second"))
-    known = None
-    todo = staged(plain, "todo")
-    for _ in range(depth):
-        a, b = ids.withColumnRenamed("_id", "_a"), ids.withColumnRenamed("_id", "_b")
-        open_ = todo.join(a, F.abs("first") == F.col("_a"), "left").join(b, F.abs("second") == F.col("_b"), "left")
-        if known is None:
-            ready = open_.where("_a is null and _b is null").select("rule_id", "leaf")
+def leaves(rules: DataFrame) -> DataFrame:
+    """rule_id, leaf (array of symbols): each rule written out, children before parents, to any depth.
+
+    Raises BadRules if rules stand for one another in a circle, so that they have no end.
+    """
+    table = staged(rules.select("rule_id", "first", "second"), "rules")
+    ids = table.select(F.col("rule_id").alias("_id"))
+    turned = lambda x, leaf: F.when(F.col(leaf).isNull(), F.array(x)).when(F.col(x) > 0, F.col(leaf)).otherwise(F.reverse(F.transform(leaf, lambda v: -v)))
+    # whether a side is a rule is looked up once; a round writes out those whose sides are symbols or written out already
+    todo = staged(table.join(ids.withColumnRenamed("_id", "_a"), F.abs("first") == F.col("_a"), "left").join(ids.withColumnRenamed("_id", "_b"), F.abs("second") == F.col("_b"), "left"), "todo")
+    done: DataFrame | None = None
+    while todo.limit(1).count():
+        if done is None:
+            ready = todo.where("_a is null and _b is null").select("rule_id", F.array("first", "second").alias("leaf"))
         else:
-            k1, k2 = (known.select(F.col("rule_id").alias(f"_k{i}"), F.col("leaf").alias(f"_l{i}")) for i in (1, 2))
-            both = open_.join(k1, F.abs("first") == F.col("_k1"), "left").join(k2, F.abs("second") == F.col("_k2"), "left").where("(_a is null or _k1 is not null) and (_b is null or _k2 is not null)")
-            turned = lambda x, leaf: F.when(F.col(leaf).isNull(), F.array(x)).when(F.col(x) > 0, F.col(leaf)).otherwise(F.reverse(F.transform(leaf, lambda v: -v)))
+            k1, k2 = (done.select(F.col("rule_id").alias(f"_k{i}"), F.col("leaf").alias(f"_l{i}")) for i in (1, 2))
+            both = todo.join(k1, F.col("_a") == F.col("_k1"), "left").join(k2, F.col("_b") == F.col("_k2"), "left").where("(_a is null or _k1 is not null) and (_b is null or _k2 is not null)")
             ready = both.select("rule_id", F.concat(turned("first", "_l1"), turned("second", "_l2")).alias("leaf"))
         ready = staged(ready, "ready")
-        if ready.limit(1).count() == 0:
-            break
-        known = ready if known is None else staged(known.unionByName(ready), "known")
+        if not ready.limit(1).count():
+            raise BadRules("rules that stand for one another")
+        done = ready if done is None else done.unionByName(ready)
         todo = staged(todo.join(ready.select("rule_id"), "rule_id", "left_anti"), "todo")
-        if todo.limit(1).count() == 0:
-            break
-    return known if known is not None else done.select("rule_id", F.array("first", "second").alias("leaf"))
+    return done if done is not None else table.select("rule_id", F.array("first", "second").alias("leaf"))
+
 
+def expand(steps: DataFrame, keys: list[str], rules: DataFrame, block: int = traversal.BLOCK) -> DataFrame:
+    """keys, pos, snode with all rules written out (a negative rule in reverse, with all signs turned).
 
-def expand(steps: DataFrame, keys: list[str], rules: DataFrame) -> DataFrame:
-    """keys, pos, snode with all rules written out (a negative rule in reverse, with all signs turned)."""
+    Where a symbol's leaves go follows from the lengths before it, summed block by block.
+    """
     table = leaves(rules)
-    wide = steps.join(table.select(F.col("rule_id").alias("_r"), "leaf"), F.abs("snode") == F.col("_r"), "left")
+    wide = steps.select(*keys, "pos", "snode").join(table.select(F.col("rule_id").alias("_r"), "leaf"), F.abs("snode") == F.col("_r"), "left")
+    wide = wide.withColumn("_n", F.when(F.col("leaf").isNull(), F.lit(1)).otherwise(F.size("leaf")).cast("bigint"))
+    placed = traversal.running(wide, keys, "_n", "_to", block)
     parts = F.when(F.col("leaf").isNull(), F.array("snode")).when(F.col("snode") > 0, F.col("leaf")).otherwise(F.reverse(F.transform("leaf", lambda v: -v)))
-    rows = wide.select(*keys, "pos", F.posexplode(parts).alias("_i", "_s"))
-    order = Window.partitionBy(*keys).orderBy("pos", "_i")
-    return rows.select(*keys, (F.row_number().over(order) - 1).cast("long").alias("pos"), F.col("_s").alias("snode"))
+    return placed.select(*keys, (F.col("_to") - F.col("_n")).alias("_at"), F.posexplode(parts).alias("_i", "_s")).select(*keys, (F.col("_at") + F.col("_i")).cast("long").alias("pos"), F.col("_s").alias("snode"))
+
+
+def lengths(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n: steps of each traversal."""
+    return steps.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 def decode(steps: DataFrame, keys: list[str], rules: DataFrame, delta: int = 1) -> DataFrame:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pansn
 from ..functions.staging import staged
 from ..model import Grouping, PangenomeGraph
 
-#: Up to so many groups the curve is a product of ratios; beyond, sums of logarithms (the product would take N steps a cell).
-EXACT_GROUPS = 1024
-
-
 def slice_groups(g: PangenomeGraph, mode: Grouping | str) -> DataFrame:
     """kind, trav, grp of every path and walk."""
     mode = Grouping.of(mode)
@@ -53,25 +50,23 @@ def coverage_histogram(coverage: DataFrame, groups: DataFrame) -> DataFrame:
 def growth_curve(histogram: DataFrame) -> DataFrame:
     """k, growth: expected number of nodes in k of the N groups drawn at random.
 
-    A node in c groups is missed by all k draws with probability C(N - k, c) / C(N, c). The histogram, one row for each
-    number of groups, is computed once and kept; all that follows is as small.
+    A node in c groups is missed by all k draws with probability C(N - k, c) / C(N, c), the exponential of four
+    logarithms of factorials. The histogram's bins that hold nodes, and the factorials up to N, are two arrays beside each
+    k, so that a k is one row and one fold, and nothing is joined; both are as long as there are groups.
     """
     histogram = staged(histogram, "histogram")
+    one = histogram.where("c > 0 and n_nodes > 0").agg(F.collect_list(F.struct("c", "n_nodes")).alias("bins"))
     total = histogram.agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
-    n, ks = F.lit(total), histogram.sparkSession.range(1, total + 1, numPartitions=1).withColumnRenamed("id", "k")
-    c, k = F.col("c"), F.col("k")
-    cells = histogram.where("c > 0 and n_nodes > 0").select("c", "n_nodes", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long"))).alias("k"))
-    if total <= EXACT_GROUPS:
-        ratio = lambda i: (n - k - i).cast("double") / (n - i)
-        missed = F.aggregate(F.sequence(F.lit(0).cast("long"), c - 1), F.lit(1.0), lambda acc, i: acc * ratio(i))
-    else:  # log C(N-k, c) - log C(N, c) from running sums of logarithms, one row for each number up to N
-        fact = histogram.select(F.col("c").alias("m"), F.sum(F.log(F.greatest("c", F.lit(1)).cast("double"))).over(Window.orderBy("c")).alias("f"))
-        for name, at in (("f1", n - k), ("f2", n - c), ("f3", n - k - c), ("f4", n)):
-            cells = cells.join(fact.select(F.col("m").alias(f"m_{name}"), F.col("f").alias(name)), F.greatest(at, F.lit(0)) == F.col(f"m_{name}"))
-        missed = F.exp(F.col("f1") + F.col("f2") - F.col("f3") - F.col("f4"))
-    some = F.when((c >= n) | (n - c < k), 1.0).otherwise(1.0 - missed)
-    sums = cells.groupBy("k").agg(F.sum(F.col("n_nodes") * some).alias("growth"))
-    return ks.join(sums, "k", "left").select("k", F.coalesce("growth", F.lit(0.0)).alias("growth"))
+    spark = histogram.sparkSession
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, total + 1, dtype=np.float64)))]) if total else np.zeros(1)
+    fact = spark.createDataFrame([(logs.tolist(),)], "f array<double>")
+    # two rows of N numbers, whatever the graph's size
+    ks = spark.range(1, total + 1).withColumnRenamed("id", "k").join(F.broadcast(one), F.lit(True), "left").join(F.broadcast(fact), F.lit(True))
+    n, k = F.lit(total), F.col("k")
+    f = lambda i: F.try_element_at("f", (i + 1).cast("int"))
+    missed = lambda c: F.exp(f(n - k) + f(n - c) - f(F.greatest(n - k - c, F.lit(0))) - f(n))
+    some = lambda b: b["n_nodes"] * F.when(b["c"] > n - k, 1.0).otherwise(1.0 - missed(b["c"]))
+    return ks.select("k", F.aggregate(F.coalesce("bins", F.array()), F.lit(0.0), lambda acc, b: acc + some(b)).alias("growth"))
 
 
 def growth(g: PangenomeGraph, mode: Grouping | str = Grouping.PATH) -> DataFrame:

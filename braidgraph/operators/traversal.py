@@ -2,22 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import packing
 from ..functions.staging import numbered, running_total
 
 
-def along(keys: list[str]) -> Window:
-    return Window.partitionBy(*keys).orderBy("pos")
+#: Steps of a traversal that are worked on together: a longer one is spread over tasks, block by block.
+BLOCK = 65_536
+
 
+def beside(steps: DataFrame, keys: list[str], value: Column, name: str, by: int, block: int = BLOCK) -> DataFrame:
+    """steps with `value` of the step before (by = -1) or after (by = 1) on the same traversal; null at its end.
+
+    Positions are dense. A window is a block of a traversal, with one step of the neighbouring block as a guest.
+    """
+    at = F.floor(F.col("pos") / block)
+    edge = (F.col("pos") % block == (block - 1 if by < 0 else 0)) & (F.col("pos") >= (0 if by < 0 else block))
+    guest = F.when(edge, F.array(at, at - by)).otherwise(F.array(at))
+    rows = steps.select("*", value.alias("_v"), F.explode(guest).alias("_b"))
+    w = Window.partitionBy(*keys, "_b").orderBy("pos")
+    near = F.lag("_v").over(w) if by < 0 else F.lead("_v").over(w)
+    return rows.withColumn(name, near).where(F.col("_b") == at).drop("_v", "_b")
 
-def delta(steps: DataFrame, keys: list[str], rounds: int = 1, value: str = "snode") -> DataFrame:
+
+def running(steps: DataFrame, keys: list[str], value: str, name: str, block: int = BLOCK, fold: Callable[[str], Column] = F.sum) -> DataFrame:
+    """steps with the sum (or another fold, such as F.max) of value up to and with each step of its traversal.
+
+    Blocks are folded on their own, and the folds of the blocks before, one row each, give where a block starts.
+    """
+    cut = steps.withColumn("_b", F.floor(F.col("pos") / block))
+    own = cut.withColumn("_own", fold(value).over(Window.partitionBy(*keys, "_b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    start = cut.groupBy(*keys, "_b").agg(fold(value).alias("_t")).withColumn("_before", fold("_t").over(earlier)).drop("_t")
+    both = own.join(start, [*keys, "_b"])
+    total = F.coalesce(F.col("_own") + F.col("_before"), "_own", "_before") if fold is F.sum else fold_two(F.col("_own"), F.col("_before"))
+    return both.withColumn(name, total).drop("_b", "_own", "_before")
+
+
+def fold_two(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)  # the only other fold in use is the maximum
+
+
+def delta(steps: DataFrame, keys: list[str], rounds: int = 1, value: str = "snode", block: int = BLOCK) -> DataFrame:
     """value minus its predecessor on the same traversal (the first one as it is), `rounds` times; 0 rounds change nothing."""
     out = steps
     for _ in range(rounds):
-        out = out.withColumn(value, F.col(value) - F.coalesce(F.lag(value).over(along(keys)), F.lit(0)))
+        out = beside(out, keys, F.col(value), "_before", -1, block).withColumn(value, F.col(value) - F.coalesce("_before", F.lit(0))).drop("_before")
     return out
 
 
@@ -40,20 +74,22 @@ def largest_symbols(steps: DataFrame, keys: list[str], rounds: int, value: str =
     return out
 
 
-def undelta(steps: DataFrame, keys: list[str], rounds: int = 1, value: str = "snode", block: int = 65_536) -> DataFrame:
+def undelta(steps: DataFrame, keys: list[str], rounds: int = 1, value: str = "snode", block: int = BLOCK) -> DataFrame:
     """Running sums, `rounds` times: undoes delta. Long traversals are summed block by block."""
     out = steps
     for _ in range(rounds):
-        cut = out.withColumn("_b", F.floor(F.col("pos") / block))
-        own = cut.withColumn("_own", F.sum(value).over(Window.partitionBy(*keys, "_b").orderBy("pos")))
-        start = cut.groupBy(*keys, "_b").agg(F.sum(value).alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-        out = own.join(start, [*keys, "_b"]).withColumn(value, F.col("_own") + F.col("_before")).drop("_b", "_own", "_before")
+        out = running(out, keys, value, "_sum", block).withColumn(value, F.col("_sum")).drop("_sum")
     return out
 
 
-def two_mers(steps: DataFrame, keys: list[str], value: str = "snode") -> DataFrame:
+def flat_undelta(rows: DataFrame, order: list[str], value: str) -> DataFrame:
+    """Undoes flat_delta: running sums across the whole order, range by range."""
+    return running_total(rows, order, value, "_before").withColumn(value, F.col(value) + F.col("_before")).drop("_before")
+
+
+def two_mers(steps: DataFrame, keys: list[str], value: str = "snode", block: int = BLOCK) -> DataFrame:
     """keys, pos, a, b, kmer (canonical) of adjacent pairs; pairs do not cross traversals."""
-    pair = steps.select(*keys, "pos", F.col(value).alias("a"), F.lead(value).over(along(keys)).alias("b")).where("b is not null")
+    pair = beside(steps.select(*keys, "pos", F.col(value).alias("a")), keys, F.col("a"), "b", 1, block).where("b is not null")
     return pair.withColumn("kmer", packing.canonical(F.col("a"), F.col("b")))
 
 
@@ -79,6 +115,8 @@ def offsets(lengths: DataFrame, order: list[str], length: str = "len") -> DataFr
 
 def sliced(flat: DataFrame, text: str, lengths: str) -> DataFrame:
     """flat rows (a concatenated string and the parts' lengths) as idx, part."""
-    starts = F.transform(F.sequence(F.lit(1), F.size(lengths)), lambda i: F.aggregate(F.slice(lengths, F.lit(1), i - 1), F.lit(0), lambda acc, x: acc + x.cast("int")))
-    parts = F.zip_with(starts, F.col(lengths), lambda s, n: F.substr(F.col(text), s + 1, n.cast("int")))
-    return flat.select(*[c for c in flat.columns if c not in (text, lengths)], F.posexplode(parts).alias("idx", "part"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<struct<s:bigint,n:int>>)").alias("out"))
+    add = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + 1).alias("s"), n.cast("int").alias("n")))).alias("out"))
+    places = F.aggregate(F.transform(lengths, lambda n: n.cast("bigint")), start, add, lambda acc: acc["out"])
+    rows = flat.select(*[c for c in flat.columns if c != lengths], F.posexplode(places).alias("idx", "_p"))
+    return rows.select(*[c for c in flat.columns if c not in (text, lengths)], "idx", F.substr(F.col(text), F.col("_p.s").cast("int"), F.col("_p.n")).alias("part"))

@@ -38,13 +38,20 @@ def test_growth_is_mean_over_subsets(spark):
     assert sorted(got.values()) == [got[k] for k in range(1, n + 1)]
 
 
-def test_growth_of_many_groups(spark, monkeypatch):
-    counts = {0: 3, 1: 5, 4: 2, 9: 7, 40: 1}
-    hist = spark.createDataFrame([(c, counts.get(c, 0)) for c in range(41)], "c bigint, n_nodes bigint")
-    exact = [r.growth for r in growth.growth_curve(hist).orderBy("k").collect()]
-    monkeypatch.setattr(growth, "EXACT_GROUPS", 3)
-    logs = [r.growth for r in growth.growth_curve(hist).orderBy("k").collect()]
-    assert logs == pytest.approx(exact, rel=1e-9)
+@pytest.mark.parametrize("n", [1, 40, 5000])
+def test_growth_of_many_groups(spark, n):
+    """The curve against whole-number binomials."""
+    from fractions import Fraction
+    from math import comb
+
+    counts = {c: x for c, x in {0: 3, 1: 5, 4: 2, 9: 7, 40: 1, 3000: 2, 5000: 4}.items() if c <= n}
+    hist = spark.createDataFrame([(c, counts.get(c, 0)) for c in range(n + 1)], "c bigint, n_nodes bigint")
+    got = {r.k: r.growth for r in growth.growth_curve(hist).collect()}
+    assert sorted(got) == list(range(1, n + 1))
+    for k in {1, min(2, n), max(1, n // 2), max(1, n - 1), n}:
+        want = sum(x * (1 - Fraction(comb(n - k, c), comb(n, c))) for c, x in counts.items() if c)
+        assert got[k] == pytest.approx(float(want), rel=1e-9)
+    assert growth.growth_curve(hist.where("c = 0")).count() == 0
 
 
 def stack(seq, rules):
@@ -70,9 +77,10 @@ def test_islands_equal_a_stack(spark):
     pairs = sorted({key(a, b) for s in rows.values() for a, b in itertools.pairwise(s)})
     chosen = {(a, b): 100 + i for i, (_, a, b) in enumerate(rnd.sample(pairs, len(pairs) // 2))}
     table = spark.createDataFrame([(key(*p)[0], r) for p, r in chosen.items()], "kmer bigint, rule bigint")
-    got = read(grammar.replaced(steps_of(spark, rows), ["trav"], table))
-    # the pair and its reverse are one rule; a palindromic pair counts as forward
-    assert got == {t: stack(s, chosen) for t, s in rows.items()}
+    for block in (3, 4, 1000):  # islands go on across blocks
+        got = read(grammar.replaced(steps_of(spark, rows), ["trav"], table, block))
+        # the pair and its reverse are one rule; a palindromic pair counts as forward
+        assert got == {t: stack(s, chosen) for t, s in rows.items()}
 
 
 @pytest.mark.parametrize("delta", [0, 1, 2])
@@ -87,6 +95,29 @@ def test_decode_undoes_encode(spark, delta):
     assert read(grammar.decode(again, ["trav"], rules, delta)) == rows
 
 
+def test_rules_of_any_depth(spark):
+    """A chain of 20 rules, each holding the one before, is written out; a circle is refused."""
+    deep = spark.createDataFrame([(100 + i, 100 + i - 1 if i else 2, i) for i in range(20)], "rule_id bigint, first bigint, second bigint").coalesce(1)
+    got = {r.rule_id: r.leaf for r in grammar.leaves(deep).where("rule_id in (100, 101, 119)").collect()}
+    assert got[100] == [2, 0] and got[101] == [2, 0, 1] and got[119] == [2] + list(range(20))
+    circle = spark.createDataFrame([(10, 11, 1), (11, 10, 2)], "rule_id bigint, first bigint, second bigint")
+    with pytest.raises(grammar.BadRules):
+        grammar.leaves(circle)
+
+
+def test_blocks_do_not_matter(spark):
+    rnd = random.Random(9)
+    rows = {t: [rnd.choice([-1, 1]) * rnd.randint(1, 3) for _ in range(n)] for t, n in enumerate((1, 2, 7, 8, 9, 50))}
+    steps = steps_of(spark, rows)
+    for f in (lambda b: traversal.delta(steps, ["trav"], 2, block=b), lambda b: traversal.two_mers(steps, ["trav"], block=b), lambda b: grammar.compacted(steps.where("pos % 3 != 1"), ["trav"], b)):
+        assert sorted(map(tuple, f(4).collect())) == sorted(map(tuple, f(1000).collect()))
+    table = spark.createDataFrame([(10, 1, 2), (11, 10, -3)], "rule_id bigint, first bigint, second bigint")
+    coded = steps_of(spark, {0: [1, 11, -11, 2, 10, -10, 3], 1: [11] * 9})
+    assert read(grammar.expand(coded, ["trav"], table, 2)) == {0: [1, 1, 2, -3, 3, -2, -1, 2, 1, 2, -2, -1, 3], 1: [1, 2, -3] * 9}
+    flat = spark.range(20).select("id", (F.col("id") * 7 % 11).alias("v"))
+    assert sorted(map(tuple, traversal.flat_undelta(traversal.flat_delta(flat, ["id"], "v"), ["id"], "v").collect())) == sorted(map(tuple, flat.collect()))
+
+
 def test_long_traversals_in_blocks(spark):
     rows = {1: list(range(1, 50)), 2: [7] * 5}
     d = traversal.delta(steps_of(spark, rows), ["trav"], 2)
