@@ -18,10 +18,15 @@ class Ambiguous(LookupError):
     """A name stands for more than one traversal."""
 
 
-def joined_steps(steps: DataFrame, kind: str, keys: list[str] = ("trav",)) -> DataFrame:
-    """keys and text: the tokens of each traversal, in order."""
+def joined_steps(steps: DataFrame, kind: str, keys: list[str] = ("trav",), names: DataFrame | None = None) -> DataFrame:
+    """keys and text: the tokens of each traversal, in order; with names (node_id, name) by name instead of number."""
     token, glue = (render.path_token, ",") if kind == "P" else (render.walk_token, "")
-    row = F.struct("pos", token(F.col("snode")).alias("t"))
+    if names is None:
+        shown = token(F.col("snode"))
+    else:
+        steps = steps.join(names.select(F.col("node_id").alias("_id"), F.col("name").alias("_name")), F.abs("snode") == F.col("_id"), "left")
+        shown = token(F.col("snode"), F.coalesce("_name", F.abs("snode").cast("string")))
+    row = F.struct("pos", shown.alias("t"))
     return steps.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["t"]), glue).alias("text"))
 
 
@@ -65,10 +70,14 @@ def extract_paths(names: list[str], paths: DataFrame, steps: DataFrame) -> DataF
 def extract_walks(keys: list[tuple], walks: DataFrame, steps: DataFrame) -> DataFrame:
     """Lines in request order of walks given by sample, haplotype, sequence, start, end (None: *)."""
     requests = walks.sparkSession.createDataFrame([(i, *k) for i, k in enumerate(keys)], "req_idx bigint, sample_id string, hap_index bigint, seq_id string, seq_start bigint, seq_end bigint")
-    lines = walk_lines(requests, walks, steps.where("kind = 'W'"))
-    if requests.count() != lines.count():
-        raise NotFound("walk not found")
-    return lines.orderBy("req_idx")
+    r, w = requests.alias("r"), walks.alias("w")
+    same = F.lit(True)
+    for c in WALK_KEY:
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}"))
+    missing = r.join(w, same, "left_anti").limit(1).collect()
+    if missing:
+        raise NotFound(f"walk not found: {missing[0].asDict()}")
+    return walk_lines(requests, walks, steps.where("kind = 'W'")).orderBy("req_idx")
 
 
 def extract_walks_by_sample(samples: list[str], walks: DataFrame, steps: DataFrame) -> DataFrame:

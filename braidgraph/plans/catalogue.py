@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -413,7 +414,10 @@ def as_lines(g: PangenomeGraph) -> DataFrame:
 
 @query
 def render_gfa_lines(s: Star) -> DataFrame:
-    return gfa.gfa_lines(part_graph(s)).select("line")
+    """Segments named apart from their numbers: all records carry the names."""
+    g = part_graph(s)
+    named = g.segments.withColumn("name", F.concat(F.lit("n"), "name"))
+    return gfa.gfa_lines(replace(g, segments=named)).select("line")
 
 
 @query
@@ -432,7 +436,7 @@ def path_parse_explode(s: Star) -> DataFrame:
 
 @query
 def walk_parse_explode(s: Star) -> DataFrame:
-    text = gfa.gfa_lines(PangenomeGraph(s.segments().withColumn("sequence", F.lit("*")).withColumn("tags", F.create_map().cast("map<string,struct<type:string,value:string>>")), s.walk_steps(), None, s.walks()))
+    text = gfa.gfa_lines(PangenomeGraph(s.segments().withColumn("sequence", F.lit("*")).withColumn("tags", F.create_map().cast("map<string,struct<type:string,value:string>>")), s.walk_steps(), None, s.walks()), names=False)
     rows = gfa.parsed_steps(text.where("line like 'W%'").select(F.lit("").alias("_f"), F.lit(0).alias("_b"), F.col("idx").alias("_m"), F.col("line").alias("value")), "W")
     return rows.select("sample_id", "seq_id", *known_ends(), F.col("pos").cast("bigint").alias("pos"), F.col("step").cast("bigint").alias("node_id"), "reverse")
 
@@ -583,7 +587,7 @@ def tag_conflicts(s: Star) -> DataFrame:
 @query
 def render_streamed(s: Star) -> DataFrame:
     """Lines in the order of the streamed layout: links before paths."""
-    return gfa.gfa_lines(part_graph(s), "streamed", names=False).groupBy("section").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count("*").alias("n"))
+    return gfa.gfa_lines(part_graph(s), "streamed", names=False).select("section", "line")
 
 
 @query

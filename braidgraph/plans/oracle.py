@@ -22,8 +22,8 @@ CTE = {
     "offs": """select trav, pos, node_id, cast(e - len as bigint) as node_start, cast(e as bigint) as node_end from
         (select trav, pos, node_id, len, sum(len) over (partition by trav order by pos) as e from (select trav, pos, abs(snode) as node_id from pstep) join seg using (node_id))""",
     "total": "select trav, max(node_end) as total from offs group by trav",
-    "refs": "select trav, total from (select trav, total, row_number() over (partition by sample order by total desc, trav) as r from total join pmeta using (trav)) where r = 1",
-    "bed": """select trav * 1000 + w as wid, trav, name as chrom, w * 25 as "start", w * 25 + 25 as "end", name || ':' || w as name from
+    "refs": "select trav, total from total",
+    "bed": """select trav * 4294967296 + w as wid, trav, name as chrom, w * 25 as "start", w * 25 + 25 as "end", name || ':' || w as name from
         (select trav, unnest(range(0, cast((total - 1) // 25 as bigint) + 1)) as w from refs) join pmeta using (trav)""",
     "hit": """select distinct wid, node_id from bed join offs using (trav) where "end" > node_start and "start" < node_end""",
     "rawmer": "select user_id, event_type, pos, snode as a, lead(snode) over (partition by user_id, event_type order by pos) as b from wstep",
@@ -156,9 +156,9 @@ PLAIN = {
         select distinct name, 'exists' from seg where len > 25 and name in (select name from seg where len <= 25)""",
     "tail_split": "select trav as line_no, name as line, case when row_number() over (order by trav desc) <= 10 then 'tail' else 'head' end as part from pmeta",
     "dangling_filter": "select a, b from link where abs(a) in (select node_id from seg where len <= 25) and abs(b) in (select node_id from seg where len <= 25)",
-    "render_gfa_lines": f"""select 'S' || chr(9) || (p_partkey + 1) || chr(9) || repeat('A', p_size) || chr(9) || 'BZ:Z:' || p_brand || chr(9) || 'PR:f:' || printf('%.6g', p_retailprice) || chr(9) || 'TY:Z:' || p_type as line from part
-        union all select 'L' || chr(9) || abs(a) || chr(9) || case when a < 0 then '-' else '+' end || chr(9) || abs(b) || chr(9) || case when b < 0 then '-' else '+' end || chr(9) || '0M' from link
-        union all select 'P' || chr(9) || name || chr(9) || coalesce(toks, '') || chr(9) || '*' from pmeta left join (select trav, {P_TOKENS} as toks from pstep group by trav) using (trav)""",
+    "render_gfa_lines": f"""select 'S' || chr(9) || 'n' || (p_partkey + 1) || chr(9) || repeat('A', p_size) || chr(9) || 'BZ:Z:' || p_brand || chr(9) || 'PR:f:' || printf('%.6g', p_retailprice) || chr(9) || 'TY:Z:' || p_type as line from part
+        union all select 'L' || chr(9) || 'n' || abs(a) || chr(9) || case when a < 0 then '-' else '+' end || chr(9) || 'n' || abs(b) || chr(9) || case when b < 0 then '-' else '+' end || chr(9) || '0M' from link
+        union all select 'P' || chr(9) || name || chr(9) || coalesce(toks, '') || chr(9) || '*' from pmeta left join (select trav, {P_TOKENS.replace("abs(snode)", "'n' || abs(snode)")} as toks from pstep group by trav) using (trav)""",
     "scan_gfa_roundtrip": "select name, pos, snode from pstep join pmeta using (trav)",
     "path_parse_explode": "select name, pos, abs(snode) as node_id, snode < 0 as reverse from pstep join pmeta using (trav)",
     "walk_parse_explode": "select sample_id, seq_id, coalesce(seq_start, -1) as seq_start, coalesce(seq_end, -1) as seq_end, pos, snode as node_id, false as reverse from wstep join wmeta using (user_id, event_type)",
@@ -188,9 +188,9 @@ PLAIN = {
     "appendix_check": "select o_orderkey, o_orderkey % 6 = 0 as is_path, o_orderkey % 6 = 3 as is_walk from orders",
     "number_prefix": "select o_orderkey, case o_orderkey % 4 when 2 then -o_orderkey when 3 then -999 else o_orderkey end as n from orders",
     "tag_conflicts": "select 'AA' as tag, 'Z,i' as types where (select count(distinct p_size > 10) from part) = 2 union all select 'CC', 'q' where exists (select 1 from part)",
-    "render_streamed": f"""select 1 as section, min(line) as first_line, max(line) as last_line, count(*) as n from (select 'S' || chr(9) || (p_partkey + 1) || chr(9) || repeat('A', p_size) || chr(9) || 'BZ:Z:' || p_brand || chr(9) || 'PR:f:' || printf('%.6g', p_retailprice) || chr(9) || 'TY:Z:' || p_type as line from part)
-        union all select 2, min(line), max(line), count(*) from (select 'L' || chr(9) || abs(a) || chr(9) || case when a < 0 then '-' else '+' end || chr(9) || abs(b) || chr(9) || case when b < 0 then '-' else '+' end || chr(9) || '0M' as line from link)
-        union all select 5, min(line), max(line), count(*) from (select 'P' || chr(9) || name || chr(9) || coalesce(toks, '') || chr(9) || '*' as line from pmeta left join (select trav, {P_TOKENS} as toks from pstep group by trav) using (trav))""",
+    "render_streamed": f"""select 1 as section, 'S' || chr(9) || (p_partkey + 1) || chr(9) || repeat('A', p_size) || chr(9) || 'BZ:Z:' || p_brand || chr(9) || 'PR:f:' || printf('%.6g', p_retailprice) || chr(9) || 'TY:Z:' || p_type as line from part
+        union all select 2, 'L' || chr(9) || abs(a) || chr(9) || case when a < 0 then '-' else '+' end || chr(9) || abs(b) || chr(9) || case when b < 0 then '-' else '+' end || chr(9) || '0M' from link
+        union all select 5, 'P' || chr(9) || name || chr(9) || coalesce(toks, '') || chr(9) || '*' from pmeta left join (select trav, {P_TOKENS} as toks from pstep group by trav) using (trav)""",
     "pav_lines": f"""select b.chrom || chr(9) || b."start" || chr(9) || b."end" || chr(9) || b.name || chr(9) || r.grp || chr(9) || printf('%.5g', r.pav) as line from ({ratio('member', 'sample')}) r join bed b using (wid)""",
     "walk_groups": "select sample_id, seq_id, sample_id as sample, sample_id || '#0' as sample_hap, sample_id || '#0#' || seq_id as sample_hap_seq from wmeta",
     "flat_delta": "select node_id, len - coalesce(lag(len) over (order by node_id), 0) as seq_len from seg",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import pansn
 from ..model import PangenomeGraph
 
 #: Width of the windows on reference paths.
@@ -46,11 +45,9 @@ class Star:
         return o.select(F.col("o_orderkey").alias("trav"), name.alias("name"), F.lit("").alias("overlaps"))
 
     def events(self) -> DataFrame:
-        """trav (user and type as one number), event_id, user_id, event_type, node_id."""
-        # the walks' numbers follow from the data: user * 16 + place of the type among all types (a handful)
-        kind = F.pmod(F.crc32(F.col("event_type").cast("binary")), F.lit(1 << 20))
+        """trav (a 64-bit hash of user and type), event_id, user_id, event_type, node_id."""
         k = F.get_json_object("props", "$.k").cast("bigint") + 1
-        return self.table("events").select((F.col("user_id") * (1 << 20) + kind).alias("trav"), "event_id", "user_id", "event_type", k.alias("node_id"))
+        return self.table("events").select(F.xxhash64("user_id", "event_type").alias("trav"), "event_id", "user_id", "event_type", k.alias("node_id"))
 
     def walk_steps(self) -> DataFrame:
         """kind, trav, pos, snode."""
@@ -75,14 +72,12 @@ class Star:
         return self.path_steps().select(F.col("snode").alias("a"), F.lead("snode").over(w).alias("b")).where("b is not null").distinct()
 
     def references(self) -> DataFrame:
-        """trav, name, total of the longest path of each sample; of equally long ones the first."""
+        """trav, name, total of every path."""
         sizes = self.path_steps().select("trav", F.abs("snode").alias("node_id")).join(self.segments(), "node_id").groupBy("trav").agg(F.sum("seq_len").alias("total"))
-        sample = pansn.growth_parts(F.col("name"))["sample"]
-        best = F.min(F.struct((-F.col("total")).alias("t"), "trav", "name"))
-        return sizes.join(self.paths(), "trav").groupBy(sample.alias("sample")).agg(best.alias("b")).select("b.trav", "b.name", (-F.col("b.t")).alias("total"))
+        return sizes.join(self.paths(), "trav").select("trav", "name", "total")
 
     def bed(self) -> DataFrame:
-        """wid, chrom, start, end, name: tiles over the reference paths."""
+        """wid, chrom, start, end, name: tiles over all paths; 32 bits of a window's number are its place on the path."""
         tiles = self.references().select("trav", "name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("total") - 1) / TILE))).alias("w"))
         start = F.col("w") * TILE
-        return tiles.select((F.col("trav") * 1000 + F.col("w")).alias("wid"), F.col("name").alias("chrom"), start.alias("start"), (start + TILE).alias("end"), F.concat_ws(":", "name", F.col("w").cast("string")).alias("name"))
+        return tiles.select((F.col("trav") * (1 << 32) + F.col("w")).alias("wid"), F.col("name").alias("chrom"), start.alias("start"), (start + TILE).alias("end"), F.concat_ws(":", "name", F.col("w").cast("string")).alias("name"))

@@ -87,20 +87,32 @@ def signed(node: Column, reverse: Column) -> Column:
     return F.when(reverse, -node).otherwise(node)
 
 
-def parsed_steps(lines: DataFrame, kind: str) -> DataFrame:
-    """Order columns, the record's own columns, pos, name and reverse of each step."""
+#: A record's own columns, by kind.
+RECORD = {"P": ["name", "overlaps"], "W": ["sample_id", "hap_index", "seq_id", "seq_start", "seq_end"]}
+
+
+def parsed_records(lines: DataFrame, kind: str) -> DataFrame:
+    """Order columns, the record's own columns, and tokens (array of its steps' texts) of each path or walk line."""
     f = fields(F.col("value"))
     if kind == "P":
         tail = F.regexp_extract("value", r"^[ \t]*\S+[ \t]+\S+[ \t]+\S+[ \t]*(.*)$", 1)
-        rows = lines.where("value like 'P%'").select(*ORDER, field(f, 1).alias("name"), tail.alias("overlaps"), F.split(field(f, 2), ",").alias("t"))
-        return rows.select(*ORDER, "name", "overlaps", F.posexplode_outer("t").alias("pos", "tok")).select(
-            *ORDER, "name", "overlaps", "pos", F.expr("substr(tok, 1, length(tok) - 1)").alias("step"), (F.right("tok", F.lit(1)) == "-").alias("reverse")
-        )
+        return lines.where("value like 'P%'").select(*ORDER, field(f, 1).alias("name"), tail.alias("overlaps"), F.split(field(f, 2), ",").alias("tokens"))
     star = lambda c: F.when(c.isin("*", ""), F.lit(None).cast("bigint")).otherwise(leading_int(c))
     meta = [field(f, 1).alias("sample_id"), F.coalesce(leading_int(field(f, 2)), F.lit(0)).alias("hap_index"), field(f, 3).alias("seq_id"), star(field(f, 4)).alias("seq_start"), star(field(f, 5)).alias("seq_end")]
-    rows = lines.where("value like 'W%'").select(*ORDER, *meta, F.regexp_extract_all(field(f, 6), F.lit("[><][^><]+"), F.lit(0)).alias("t"))
-    names = ["sample_id", "hap_index", "seq_id", "seq_start", "seq_end"]
-    return rows.select(*ORDER, *names, F.posexplode_outer("t").alias("pos", "tok")).select(*ORDER, *names, "pos", F.expr("substr(tok, 2)").alias("step"), (F.left("tok", F.lit(1)) == "<").alias("reverse"))
+    return lines.where("value like 'W%'").select(*ORDER, *meta, F.regexp_extract_all(field(f, 6), F.lit("[><][^><]+"), F.lit(0)).alias("tokens"))
+
+
+def exploded(records: DataFrame, kind: str, keep: list[str]) -> DataFrame:
+    """Columns keep, pos, step (a name) and reverse of each step of parsed_records()."""
+    rows = records.select(*keep, F.posexplode("tokens").alias("pos", "tok"))
+    if kind == "P":
+        return rows.select(*keep, "pos", F.expr("substr(tok, 1, length(tok) - 1)").alias("step"), (F.right("tok", F.lit(1)) == "-").alias("reverse"))
+    return rows.select(*keep, "pos", F.expr("substr(tok, 2)").alias("step"), (F.left("tok", F.lit(1)) == "<").alias("reverse"))
+
+
+def parsed_steps(lines: DataFrame, kind: str) -> DataFrame:
+    """Order columns, the record's key columns (all but overlaps), pos, name and reverse of each step."""
+    return exploded(parsed_records(lines, kind), kind, [*ORDER, *(c for c in RECORD[kind] if c != "overlaps")])
 
 
 def parsed_links(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -146,10 +158,11 @@ def graph_of(lines: DataFrame, strict: bool = True) -> PangenomeGraph:
             if bad:
                 raise BadGfa(f"tag {bad[0]['tag']} has types {bad[0]['types']}")
     tables, steps = {}, []
-    for kind, columns in (("P", ["name", "overlaps"]), ("W", ["sample_id", "hap_index", "seq_id", "seq_start", "seq_end"])):
-        rows = parsed_steps(lines, kind)
-        tables[kind] = numbered(rows.select(*ORDER, *columns).distinct(), ORDER, "trav")
-        at = rows.where("step is not null").join(tables[kind].select(*ORDER, "trav"), ORDER)
+    for kind, columns in RECORD.items():
+        # the records are numbered without their steps, and steps carry the number alone
+        records = parsed_records(lines, kind)
+        tables[kind] = numbered(records.select(*ORDER, *columns), ORDER, "trav")
+        at = exploded(records.join(tables[kind].select(*ORDER, "trav"), ORDER), kind, ["trav"])
         steps.append(resolve(at, ids, "step", "node_id").select(F.lit(kind).alias("kind"), "trav", F.col("pos").cast("bigint").alias("pos"), signed(F.col("node_id"), F.col("reverse")).alias("snode")))
         tables[kind] = tables[kind].select("trav", *columns)
     return PangenomeGraph(segments, steps[0].unionByName(steps[1]), tables["P"], tables["W"], links, parsed_jumps(lines, ids), parsed_containments(lines, ids), parsed_header(lines))
@@ -164,7 +177,7 @@ SECTIONS = {"stored": "HSLPWJC", "streamed": "HSLJCPW"}
 
 
 def gfa_lines(g: PangenomeGraph, layout: str = "stored", names: bool = True) -> DataFrame:
-    """section, idx, line of all records. names: stored segment names, else their numbers."""
+    """section, idx, line of all records. names: stored segment names, in all records; else their numbers."""
     place = {c: i for i, c in enumerate(SECTIONS[layout])}
     out = []
 
@@ -174,18 +187,28 @@ def gfa_lines(g: PangenomeGraph, layout: str = "stored", names: bool = True) ->
 
     number = lambda c: F.col(c).cast("string")
     label = F.coalesce("name", number("node_id")) if names else number("node_id")
+    known = g.segments.select("node_id", label.alias("name")) if names else None
+
+    def ends(df: DataFrame | None, *ids: str) -> DataFrame | None:
+        """df with the ids' texts as _0, _1."""
+        for i, c in enumerate(ids if df is not None else ()):
+            if names:
+                df = df.join(known.select(F.col("node_id").alias(f"_id{i}"), F.col("name").alias(f"_n{i}")), F.col(c) == F.col(f"_id{i}"), "left")
+            df = df.withColumn(f"_{i}", F.coalesce(f"_n{i}", number(c)) if names else number(c))
+        return df
+
     add("H", g.header, F.lit(0), F.col("line"))
     add("S", g.segments, F.col("node_id"), F.concat(F.concat_ws("\t", F.lit("S"), label, "sequence"), render.tags_text(F.col("tags"))))
-    add("L", g.links, F.col("link_idx"), F.concat(F.concat_ws("\t", F.lit("L"), number("from_id"), "from_orient", number("to_id"), "to_orient", render.overlap_text(F.col("overlap_num"), F.col("overlap_op"))), render.tags_text(F.col("tags"))))
+    add("L", ends(g.links, "from_id", "to_id"), F.col("link_idx"), F.concat(F.concat_ws("\t", F.lit("L"), "_0", "from_orient", "_1", "to_orient", render.overlap_text(F.col("overlap_num"), F.col("overlap_op"))), render.tags_text(F.col("tags"))))
     if g.paths is not None:
-        p = g.paths.join(joined_steps(g.steps.where("kind = 'P'"), "P"), "trav", "left")
+        p = g.paths.join(joined_steps(g.steps.where("kind = 'P'"), "P", names=known), "trav", "left")
         add("P", p, F.col("trav"), render.path_line(F.col("name"), F.coalesce("text", F.lit("")), F.col("overlaps")))
     if g.walks is not None:
-        w = g.walks.join(joined_steps(g.steps.where("kind = 'W'"), "W"), "trav", "left")
+        w = g.walks.join(joined_steps(g.steps.where("kind = 'W'"), "W", names=known), "trav", "left")
         add("W", w, F.col("trav"), render.walk_line(F.col("sample_id"), F.col("hap_index"), F.col("seq_id"), F.col("seq_start"), F.col("seq_end"), F.coalesce("text", F.lit(""))))
     tail = lambda: F.when(F.col("rest") == "", "").otherwise(F.concat(F.lit("\t"), F.col("rest")))
-    add("J", g.jumps, F.col("jump_idx"), F.concat(F.concat_ws("\t", F.lit("J"), number("from_id"), "from_orient", number("to_id"), "to_orient", "distance"), tail()))
-    add("C", g.containments, F.col("containment_idx"), F.concat(F.concat_ws("\t", F.lit("C"), number("container_id"), "container_orient", number("contained_id"), "contained_orient", number("pos"), "overlap"), tail()))
+    add("J", ends(g.jumps, "from_id", "to_id"), F.col("jump_idx"), F.concat(F.concat_ws("\t", F.lit("J"), "_0", "from_orient", "_1", "to_orient", "distance"), tail()))
+    add("C", ends(g.containments, "container_id", "contained_id"), F.col("containment_idx"), F.concat(F.concat_ws("\t", F.lit("C"), "_0", "container_orient", "_1", "contained_orient", number("pos"), "overlap"), tail()))
     all_ = out[0]
     for o in out[1:]:
         all_ = all_.unionByName(o)
@@ -193,5 +216,8 @@ def gfa_lines(g: PangenomeGraph, layout: str = "stored", names: bool = True) ->
 
 
 def write_gfa(g: PangenomeGraph, path: str, layout: str = "stored") -> None:
-    """The graph as text files whose concatenation in name order is the file; lines are sorted by ranges."""
-    gfa_lines(g, layout, names=False).sort("section", "idx").select("line").write.text(path)
+    """The graph as text files whose concatenation in name order is the file; lines are sorted by ranges.
+
+    The stored layout has the segments' names, the streamed one their numbers.
+    """
+    gfa_lines(g, layout, names=layout == "stored").sort("section", "idx").select("line").write.text(path)

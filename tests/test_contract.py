@@ -12,7 +12,7 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name.startswith("braidgraph.llm") or name == "corpus_pipeline":
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 import braidgraph.api, braidgraph.cli

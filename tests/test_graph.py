@@ -3,8 +3,10 @@
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from braidgraph import api, cli
+from braidgraph.functions import render
 from braidgraph.operators import extract, stats
 from braidgraph.sources import appendix, bed, gfa, storage
 
@@ -107,6 +109,13 @@ def test_odd_text(spark, folder):
     assert [(r.overlap_num, r.overlap_op, r.overlap) for r in g.links.collect()] == [(12, "M", "12M3I")]
     lines = [r.line for r in gfa.gfa_lines(g, names=False).orderBy("section", "idx").collect()]
     assert lines == ["H\tVN:Z:2", "S\t1\tACG\tLN:i:3\tXF:f:1.5", "S\t2\t*", "L\t1\t+\t2\t-\t12M", "P\tp\t1+,2-\t*", "J\t1\t+\t2\t-\t*\tAA:i:1", "C\t1\t+\t2\t-\t7\t3M\tID:Z:q"]
+    named = [r.line for r in gfa.gfa_lines(g).orderBy("section", "idx").collect()]
+    assert named == ["H\tVN:Z:2", "S\ta\tACG\tLN:i:3\tXF:f:1.5", "S\tb\t*", "L\ta\t+\tb\t-\t12M", "P\tp\ta+,b-\t*", "J\ta\t+\tb\t-\t*\tAA:i:1", "C\ta\t+\tb\t-\t7\t3M\tID:Z:q"]
+    gfa.write_gfa(g, str(folder / "named"))
+    again = api.parse_gfa(spark, str(folder / "named"))  # numbers and overlaps are shortened, all else is the same
+    assert [r.name for r in again.segments.orderBy("node_id").collect()] == ["a", "b"] and set(stats.same_graph(g, again)) <= {"segments", "links"}
+    tag = spark.createDataFrame([("B", "f,1.50,2,0.3333333"), ("B", "i,+5,-007,3"), ("f", "12345.25"), ("Z", "1.50")], "k string, v string")
+    assert [r[0] for r in tag.select(render.tag_text(F.lit("XX"), F.col("k"), F.col("v"))).collect()] == ["XX:B:f,1.5,2,0.333333", "XX:B:i,5,-7,3", "XX:f:12345.2", "XX:Z:1.50"]
     (folder / "bad.gfa").write_text("S\ta\tA\tXX:i:1\nS\tb\tA\tXX:Z:1\n")
     with pytest.raises(gfa.BadGfa):
         api.parse_gfa(spark, str(folder / "bad.gfa"))

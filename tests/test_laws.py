@@ -147,7 +147,10 @@ def test_packing(spark):
 
 
 def test_general_numbers(spark):
-    values = [0.0, 1.0, 0.83333333, 0.75, 123456.789, 1234567.0, 0.0001234567, 0.00001234, 900.1, 1e-10, 2.5e20, 0.453125, 0.890625, 0.123455, 0.00390625, 0.0123455, 0.00012207, 13 / 32, 29 / 64, 0.999994, 1 / 3, 2 / 7 / 100, 100000.0, 999999.5, 0.1 + 0.2, 10.0]
+    values = [0.0, 1.0, 0.83333333, 0.75, 123456.789, 1234567.0, 0.0001234567, 0.00001234, 900.1, 1e-10, 2.5e20, 0.453125, 0.890625, 0.123455, 0.00390625, 0.0123455, 0.00012207, 13 / 32, 29 / 64, 0.999994, 1 / 3, 2 / 7 / 100, 100000.0, 999999.5, 0.1 + 0.2, 10.0, 12345.25, 12345.75, 100000.5, 100001.5, 10000.5, 1234565.0, 12345650.0, 2.675, 1.000005, 1.0000005, 8.5e-5, 1.2345650000000001e-7, 123456.5, 99999.95, 9.999995, 3e-308, 1.7e308, 0.30000000000000004, 1e22, 12345.35]
+    rnd = random.Random(1)
+    values += [round(rnd.uniform(0, 10**rnd.randint(-5, 7)), rnd.randint(0, 7)) for _ in range(300)] + [rnd.randint(1, 10**7) / 2 ** rnd.randint(0, 20) for _ in range(300)]
+    values += [-v for v in values if v]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for digits in (5, 6):
         for r in df.select("v", render.general(F.col("v"), digits).alias("t")).collect():
