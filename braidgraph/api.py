@@ -11,16 +11,26 @@ from .operators import pav as pav_of
 from .sources import appendix, bed, gfa, storage
 
 #: Defaults of compress().
-DEFAULT_ROUNDS, DEFAULT_DELTA, DEFAULT_THRESHOLD = 8, 1, 2
+DEFAULT_ROUNDS, DEFAULT_DELTA, DEFAULT_THRESHOLD, DEFAULT_LEVEL = 8, 1, 2, 9
 
 
 def parse_gfa(spark: SparkSession, path: str) -> PangenomeGraph:
     return gfa.read_gfa(spark, path)
 
 
-def compress(spark: SparkSession, path: str, store: str, rounds: int = DEFAULT_ROUNDS, delta: int = DEFAULT_DELTA) -> None:
-    """Text to a stored graph with coded traversals."""
-    storage.save(gfa.read_gfa(spark, path), store, rounds, delta)
+def compress(spark: SparkSession, path: str, store: str, rounds: int = DEFAULT_ROUNDS, delta: int = DEFAULT_DELTA, threshold: int = DEFAULT_THRESHOLD, level: int = DEFAULT_LEVEL) -> None:
+    """Text to a stored graph with coded traversals. threshold: how often a pair occurs to get a rule; level: of Zstd."""
+    storage.save(gfa.read_gfa(spark, path), store, rounds, delta, level, threshold)
+
+
+def serialize(g: PangenomeGraph, store: str, rounds: int = DEFAULT_ROUNDS, delta: int = DEFAULT_DELTA, threshold: int = DEFAULT_THRESHOLD, level: int = DEFAULT_LEVEL) -> None:
+    """A graph to a folder."""
+    storage.save(g, store, rounds, delta, level, threshold)
+
+
+def deserialize(spark: SparkSession, store: str) -> PangenomeGraph:
+    """The graph in a folder."""
+    return storage.load(spark, store)
 
 
 def compress_directory(spark: SparkSession, folder: str, out: str, rounds: int = DEFAULT_ROUNDS, delta: int = DEFAULT_DELTA) -> list[str]:
@@ -63,6 +73,10 @@ def extract_walk_line(g: PangenomeGraph, sample: str, hap: int = 0, seq: str = "
     return extract_walk_lines(g, [(sample, hap, seq, start, end)])[0]
 
 
+def extract_walk_line_by_name(g: PangenomeGraph, sample: str) -> str:
+    return extract_walk_lines_by_name(g, [sample])[0]
+
+
 def extract_walk_lines_by_name(g: PangenomeGraph, samples: list[str]) -> list[str]:
     return [r["line"] for r in extract.extract_walks_by_sample(samples, g.walks, g.steps).collect()]
 

@@ -36,6 +36,8 @@ def parser() -> argparse.ArgumentParser:
     v = verb("compress", "gfa", "store")
     v.add_argument("-r", "--rounds", type=int, default=8)
     v.add_argument("-d", "--delta", type=int, default=1)
+    v.add_argument("-t", "--threshold", type=int, default=2, help="how often a pair must occur to get a rule")
+    v.add_argument("-z", "--level", type=int, default=9, help="Zstd level")
     v.add_argument("-s", "--stats", action="store_true")
     v = verb("decompress", "store", "gfa")
     v.add_argument("-l", "--layout", choices=sorted(gfa.SECTIONS), default="streamed")
@@ -90,7 +92,7 @@ def run(argv: list[str] | None = None, out=sys.stdout) -> int:
     say = lambda x: print(x, file=out)
     if args.verb == "compress":
         began, g = time.time(), gfa.read_gfa(spark, args.gfa)
-        storage.save(g, args.store, args.rounds, args.delta)
+        storage.save(g, args.store, args.rounds, args.delta, args.level, args.threshold)
         if args.stats:
             for r in stats.summary(g).collect():
                 say(f"{r['record']}\t{r['n']}")

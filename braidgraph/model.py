@@ -2,7 +2,7 @@
 
 segments     node_id bigint, name, sequence, seq_len bigint, tags map<string, struct<type, value>>
 links        link_idx bigint, from_id, from_orient, to_id, to_orient, overlap_num, overlap_op, overlap (as read), tags
-steps        kind ('P' or 'W'), trav, pos bigint, snode bigint (negative: reverse)
+steps        kind ('P' or 'W'), trav, pos bigint (0, 1, 2, ... without gaps), snode bigint (negative: reverse)
 paths        trav, name, overlaps
 walks        trav, sample_id, hap_index bigint, seq_id, seq_start, seq_end (null: *)
 jumps        jump_idx, from_id, from_orient, to_id, to_orient, distance, rest

@@ -9,6 +9,7 @@ from ..functions import render
 from ..functions.staging import numbered, staged
 from ..model import PangenomeGraph
 from ..operators.extract import joined_steps
+from ..operators.grammar import compacted
 
 ORDER = ["_f", "_b", "_m"]  #: file, block and row: the order of lines in the files
 GAP = "[ \t]+"
@@ -163,7 +164,9 @@ def graph_of(lines: DataFrame, strict: bool = True) -> PangenomeGraph:
         records = parsed_records(lines, kind)
         tables[kind] = numbered(records.select(*ORDER, *columns), ORDER, "trav")
         at = exploded(records.join(tables[kind].select(*ORDER, "trav"), ORDER), kind, ["trav"])
-        steps.append(resolve(at, ids, "step", "node_id").select(F.lit(kind).alias("kind"), "trav", F.col("pos").cast("bigint").alias("pos"), signed(F.col("node_id"), F.col("reverse")).alias("snode")))
+        own = resolve(at, ids, "step", "node_id").select(F.lit(kind).alias("kind"), "trav", F.col("pos").cast("bigint").alias("pos"), signed(F.col("node_id"), F.col("reverse")).alias("snode"))
+        # positions have no gaps: where steps are dropped the others move up
+        steps.append(compacted(own, ["kind", "trav"]) if at.join(ids, F.col("step") == F.col("name"), "left_anti").limit(1).count() else own)
         tables[kind] = tables[kind].select("trav", *columns)
     return PangenomeGraph(segments, steps[0].unionByName(steps[1]), tables["P"], tables["W"], links, parsed_jumps(lines, ids), parsed_containments(lines, ids), parsed_header(lines))
 

@@ -19,10 +19,11 @@ def zstd(table: DataFrame, level: int) -> DataFrameWriter:
     return table.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level))
 
 
-def save(g: PangenomeGraph, path: str, rounds: int = 0, delta: int = 1, level: int = 9) -> None:
+def save(g: PangenomeGraph, path: str, rounds: int = 0, delta: int = 1, level: int = 9, least: int = 2) -> None:
     """Write all tables; with rounds > 0 the steps are stored coded, with their rules.
 
     Steps are sorted by traversal, so that readers of a few traversals skip most row groups. level: of Zstd, 1 to 22.
+    least: how often a pair must occur to get a rule.
     """
     if not 1 <= level <= 22:
         raise ValueError("Zstd level outside 1..22")
@@ -30,7 +31,7 @@ def save(g: PangenomeGraph, path: str, rounds: int = 0, delta: int = 1, level: i
     spark.createDataFrame([(FORMAT, VERSION, rounds, delta)], "format string, version int, rounds int, delta int").coalesce(1).write.json(f"{path}/_about")
     for name, table in g.tables().items():
         if name == "steps" and rounds:
-            coded, rules = grammar.encode(table, ["kind", "trav"], rounds, delta)
+            coded, rules = grammar.encode(table, ["kind", "trav"], rounds, delta, least)
             zstd(rules, level).parquet(f"{path}/rules")
             table = coded
         if name == "steps":
