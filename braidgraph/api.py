@@ -14,8 +14,9 @@ from .sources import appendix, bed, gfa, storage
 DEFAULT_ROUNDS, DEFAULT_DELTA, DEFAULT_THRESHOLD, DEFAULT_LEVEL = 8, 1, 2, 9
 
 
-def parse_gfa(spark: SparkSession, path: str) -> PangenomeGraph:
-    return gfa.read_gfa(spark, path)
+def parse_gfa(spark: SparkSession, path: str, use_ln_tag: bool = False) -> PangenomeGraph:
+    """use_ln_tag: segments without a sequence have the length that their LN tag gives, else one base."""
+    return gfa.read_gfa(spark, path, use_ln_tag=use_ln_tag)
 
 
 def compress(spark: SparkSession, path: str, store: str, rounds: int = DEFAULT_ROUNDS, delta: int = DEFAULT_DELTA, threshold: int = DEFAULT_THRESHOLD, level: int = DEFAULT_LEVEL) -> None:

@@ -6,8 +6,7 @@ import argparse
 import sys
 import time
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .model import Grouping
 from .operators import append, extract, growth, pav, stats
@@ -31,6 +30,8 @@ def parser() -> argparse.ArgumentParser:
         v = verbs.add_parser(name, **more)
         for a in args:
             v.add_argument(a)
+        if name in ("pav", "growth") or name.startswith("extract"):
+            v.add_argument("-o", "--out", help="folder for the lines, written by the executors; else they are printed")
         return v
 
     v = verb("compress", "gfa", "store")
@@ -38,8 +39,10 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("-d", "--delta", type=int, default=1)
     v.add_argument("-t", "--threshold", type=int, default=2, help="how often a pair must occur to get a rule")
     v.add_argument("-z", "--level", type=int, default=9, help="Zstd level")
-    v.add_argument("-s", "--stats", action="store_true")
+    v.add_argument("-s", "--stats", action="store_true", help="counts, seconds, bytes, and bytes of each stored column")
+    v.add_argument("--ln", action="store_true", help="segments without a sequence have the length that their LN tag gives")
     v = verb("decompress", "store", "gfa")
+    v.add_argument("-s", "--stats", action="store_true")
     v.add_argument("-l", "--layout", choices=sorted(gfa.SECTIONS), default="streamed")
     v = verb("extract-path", "store")
     v.add_argument("names", nargs="+")
@@ -70,65 +73,62 @@ def walk_keys(fields: list[str]) -> list[tuple]:
     return [(s, int(h), q, end(a), end(b)) for s, h, q, a, b in zip(*(fields[i::5] for i in range(5)), strict=True)]
 
 
-def pav_output(g, windows, mode: Grouping, as_matrix: bool, threshold: float | None) -> list[str]:
-    """Lines of the table, windows in file order, groups as first met."""
-    long = pav.pav(g, windows, mode)
-    if threshold is not None:
-        long = pav.binary(long, threshold)
-    shown = pav.general(F.col("pav"), 5)
-    order = pav.group_order(g, mode)
-    keys = ["chrom", "start", "end", "name"]
-    if as_matrix:
-        wide = pav.matrix(long.withColumn("pav", shown), order, ["wid", *keys]).orderBy("wid")
-        return ["\t".join(["chrom", "start", "end", "name", *order]), *("\t".join(map(str, r[1:])) for r in wide.toLocalIterator())]
-    place = F.array_position(F.array(*[F.lit(o) for o in order]), F.col("grp"))
-    rows = long.select("wid", *keys, "grp", shown.alias("pav"), place.alias("_g")).orderBy("wid", "_g")
-    return ["\t".join(["chrom", "start", "end", "name", "group", "pav"]), *("\t".join(map(str, r[1:-1])) for r in rows.toLocalIterator())]
+def sizes(spark: SparkSession, text: str, store: str, seconds: float) -> list[str]:
+    """Bytes of the text and of the store, their ratio, and how much of the text was worked on in a second."""
+    plain, stored = storage.folder_bytes(spark, text), storage.folder_bytes(spark, store)
+    out = [f"seconds\t{seconds:.2f}", f"text_bytes\t{plain}", f"stored_bytes\t{stored}"]
+    return out + [f"ratio\t{plain / max(stored, 1):.2f}", f"MiB_per_second\t{plain / (1 << 20) / max(seconds, 1e-9):.2f}"]
 
 
 def run(argv: list[str] | None = None, out=sys.stdout) -> int:
     args = parser().parse_args(argv)
     spark = session(args.threads)
     say = lambda x: print(x, file=out)
+
+    def emit(lines: DataFrame) -> None:
+        """Print lines in their order, a partition at a time, or have the executors write them."""
+        if args.out:
+            lines.select("line").write.text(args.out)
+        else:
+            for r in lines.select("line").toLocalIterator():
+                say(r["line"])
+
     if args.verb == "compress":
-        began, g = time.time(), gfa.read_gfa(spark, args.gfa)
+        began, g = time.time(), gfa.read_gfa(spark, args.gfa, use_ln_tag=args.ln)
         storage.save(g, args.store, args.rounds, args.delta, args.level, args.threshold)
         if args.stats:
             for r in stats.summary(g).collect():
                 say(f"{r['record']}\t{r['n']}")
-            say(f"seconds\t{time.time() - began:.2f}")
+            for line in sizes(spark, args.gfa, args.store, time.time() - began):
+                say(line)
+            for r in storage.column_bytes(spark, args.store):
+                say("\t".join(map(str, r)))
         return 0
     if args.verb == "pav":
         mode = Grouping.SAMPLE if args.sample else Grouping.SAMPLE_HAP if args.haplotype else Grouping.PATH
         g = storage.load(spark, args.store, ["paths", "walks"])
-        for line in pav_output(g, bed.read_bed(spark, args.bed), mode, args.matrix, args.binary):
-            say(line)
+        emit(pav.output(g, bed.read_bed(spark, args.bed), mode, args.matrix, args.binary).sort("wid", "place"))
         return 0
     g = storage.load(spark, args.store)
     if args.verb == "decompress":
+        began = time.time()
         gfa.write_gfa(g, args.gfa, args.layout)
+        if args.stats:
+            for line in sizes(spark, args.gfa, args.store, time.time() - began):
+                say(line)
     elif args.verb == "extract-path":
-        for r in extract.extract_paths(args.names, g.paths, g.steps).collect():
-            say(r["line"])
+        emit(extract.extract_paths(args.names, g.paths, g.steps))
     elif args.verb == "extract-walk":
-        for r in extract.extract_walks(walk_keys(args.keys), g.walks, g.steps).collect():
-            say(r["line"])
+        emit(extract.extract_walks(walk_keys(args.keys), g.walks, g.steps))
     elif args.verb == "extract-sample":
-        for r in extract.extract_walks_by_sample(args.names, g.walks, g.steps).collect():
-            say(r["line"])
+        emit(extract.extract_walks_by_sample(args.names, g.walks, g.steps))
     elif args.verb == "add-haplotypes":
         kind, meta, steps = appendix.read_appendix(spark, args.lines)
         how = storage.about(spark, args.store)
         storage.save(append.add_haplotypes(g, kind, meta, steps, args.strict), args.out, how["rounds"], how["delta"])
     elif args.verb == "growth":
         mode = Grouping.of(args.group_by)
-        lines = growth.growth_lines(growth.growth(g, mode)).orderBy("k").collect()
-        say("# growth (count=node, coverage>=1, quorum>=0)")
-        say(f"# group-by={mode.value}")
-        say(f"# num_haplotypes={len(lines)} num_nodes={g.segments.count()}")
-        say("k\tgrowth")
-        for r in lines:
-            say(r["line"])
+        emit(growth.output(g, mode).sort("k"))
     elif args.verb == "summary":
         for r in stats.summary(g).collect():
             say(f"{r['record']}\t{r['n']}")

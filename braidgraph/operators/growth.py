@@ -84,3 +84,13 @@ def node_groups(members: DataFrame) -> DataFrame:
 def growth_lines(curve: DataFrame) -> DataFrame:
     """k and the output line: k and the value with four decimals."""
     return curve.select("k", F.format_string("%d\t%.4f", "k", "growth").alias("line"))
+
+
+def output(g: PangenomeGraph, mode: Grouping | str = Grouping.PATH) -> DataFrame:
+    """k, line of the printed curve, to be sorted by k; the header's lines have k below 1."""
+    mode = Grouping.of(mode)
+    lines = staged(growth_lines(growth(g, mode)), "curve")
+    # fixed values: the header's texts
+    head = ["# growth (count=node, coverage>=1, quorum>=0)", f"# group-by={mode.value}", f"# num_haplotypes={lines.count()} num_nodes={g.segments.count()}", "k\tgrowth"]
+    top = lines.sparkSession.createDataFrame([(i - len(head), h) for i, h in enumerate(head, 1)], "k bigint, line string")
+    return top.unionByName(lines.select(F.col("k").cast("bigint").alias("k"), "line"))

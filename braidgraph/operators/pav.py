@@ -6,16 +6,18 @@ the length of those that the group holds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pansn
 from ..functions.render import general
-from ..functions.staging import staged
+from ..functions.staging import numbered, staged
 from ..model import Grouping, PangenomeGraph
 
 #: Steps of a traversal that are summed in one go, and bases of a bin of the interval join.
 BLOCK, BIN = 65_536, 4_096
+#: Bytes of group names that are sent to the windows; more of them meet the windows in a join.
+SENT = 16 << 20
 
 
 def slice_groups(g: PangenomeGraph, mode: Grouping | str) -> DataFrame:
@@ -40,6 +42,10 @@ def reference_names(g: PangenomeGraph) -> DataFrame:
     return names.groupBy("name").agg(F.min(F.struct("kind", "trav")).alias("s")).select("name", "s.kind", "s.trav")
 
 
+#: A window's own columns.
+WINDOW = ["wid", "chrom", "start", "end", "name"]
+
+
 class UnknownReference(LookupError):
     """A window names no path or walk."""
 
@@ -84,24 +90,35 @@ def overlaps(bed: DataFrame, offsets: DataFrame, keys: list[str] = ("kind", "tra
     return w.join(n, [*keys, "_bin"]).where("end > node_start and start < node_end").select("wid", "node_id").distinct()
 
 
-def ratios(bed: DataFrame, hit: DataFrame, members: DataFrame, segments: DataFrame, groups: DataFrame) -> DataFrame:
-    """wid, grp, num, den, pav for every window and group (zeros kept)."""
+def shares(hit: DataFrame, members: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """wid, den of every window with nodes, and wid, grp, num of every group that holds some of them."""
     sized = hit.join(segments.select("node_id", "seq_len"), "node_id")
-    den = sized.groupBy("wid").agg(F.sum("seq_len").alias("den"))
-    num = sized.join(members, "node_id").groupBy("wid", "grp").agg(F.sum("seq_len").alias("num"))
-    # the result holds every window and group; the groups' names are one row beside the windows
-    names = groups.agg(F.collect_set("grp").alias("grps"))
-    dense = bed.select("wid").join(F.broadcast(names), F.lit(True)).select("wid", F.explode("grps").alias("grp"))
-    full = dense.join(den, "wid", "left").join(num, ["wid", "grp"], "left")
-    den_, num_ = F.coalesce("den", F.lit(0)), F.coalesce("num", F.lit(0))
-    return full.select("wid", "grp", num_.alias("num"), den_.alias("den"), F.when(den_ == 0, 0.0).otherwise(num_ / den_).alias("pav"))
+    return sized.groupBy("wid").agg(F.sum("seq_len").alias("den")), sized.join(members, "node_id").groupBy("wid", "grp").agg(F.sum("seq_len").alias("num"))
 
 
-def pav(g: PangenomeGraph, bed: DataFrame, mode: Grouping | str = Grouping.PATH, strict: bool = True) -> DataFrame:
-    """wid, chrom, start, end, name, grp, num, den, pav of bed (wid, chrom, start, end, name) on a graph.
+def share(num: Column, den: Column) -> Column:
+    return F.when(F.coalesce(den, F.lit(0)) == 0, 0.0).otherwise(F.coalesce(num, F.lit(0)) / den)
 
-    With strict, a window on an unknown reference raises; else it is left out.
-    """
+
+def all_pairs(bed: DataFrame, groups: DataFrame) -> DataFrame:
+    """wid, grp of every window and every group: the dense result, whose rows the table has."""
+    names = groups.select("grp").distinct()
+    n, size = names.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("grp") + 16), F.lit(0))).first()
+    if size <= SENT:
+        return bed.select("wid").join(F.broadcast(names.agg(F.collect_list("grp").alias("grps"))), F.lit(True)).select("wid", F.explode("grps").alias("grp"))
+    places = bed.select("wid", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("place"))
+    return places.join(numbered(names, ["grp"], "place"), "place").select("wid", "grp")
+
+
+def ratios(bed: DataFrame, hit: DataFrame, members: DataFrame, segments: DataFrame, groups: DataFrame) -> DataFrame:
+    """wid, grp, num, den, pav for every window and group (zeros kept)."""
+    den, num = shares(hit, members, segments)
+    full = all_pairs(bed, groups).join(den, "wid", "left").join(num, ["wid", "grp"], "left")
+    return full.select("wid", "grp", F.coalesce("num", F.lit(0)).alias("num"), F.coalesce("den", F.lit(0)).alias("den"), share(F.col("num"), F.col("den")).alias("pav"))
+
+
+def prepared(g: PangenomeGraph, bed: DataFrame, mode: Grouping | str, strict: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Windows with their references, the nodes that they touch, the groups' nodes, and the traversals' groups."""
     names = reference_names(g)
     if strict:
         require_known(bed, names)
@@ -110,8 +127,16 @@ def pav(g: PangenomeGraph, bed: DataFrame, mode: Grouping | str = Grouping.PATH,
     refs = at.select("kind", "trav").distinct()
     offsets = node_offsets(g.steps.join(refs, ["kind", "trav"], "left_semi"), g.segments)
     members = g.steps.select("kind", "trav", F.abs("snode").alias("node_id")).join(groups, ["kind", "trav"]).select("grp", "node_id").distinct()
-    out = ratios(at, overlaps(at, offsets), members, g.segments, groups)
-    return at.select("wid", "chrom", "start", "end", "name").join(out, "wid")
+    return at, overlaps(at, offsets), members, groups
+
+
+def pav(g: PangenomeGraph, bed: DataFrame, mode: Grouping | str = Grouping.PATH, strict: bool = True) -> DataFrame:
+    """wid, chrom, start, end, name, grp, num, den, pav of bed (wid, chrom, start, end, name) on a graph.
+
+    With strict, a window on an unknown reference raises; else it is left out.
+    """
+    at, hit, members, groups = prepared(g, bed, mode, strict)
+    return at.select(*WINDOW).join(ratios(at, hit, members, g.segments, groups), "wid")
 
 
 def binary(long: DataFrame, threshold: float) -> DataFrame:
@@ -132,7 +157,43 @@ def pav_lines(long: DataFrame) -> DataFrame:
     return long.select("wid", "grp", F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), "name", "grp", value).alias("line"))
 
 
-def group_order(g: PangenomeGraph, mode: Grouping | str) -> list[str]:
-    """Names of the groups as first met, paths before walks: the matrix's columns (one name a group reaches the driver)."""
-    rows = slice_groups(g, mode).groupBy("grp").agg(F.min(F.struct("kind", "trav")).alias("s")).orderBy("s").collect()
-    return [r["grp"] for r in rows]
+def group_places(g: PangenomeGraph, mode: Grouping | str) -> DataFrame:
+    """grp, place: groups numbered as first met, paths before walks."""
+    first = slice_groups(g, mode).groupBy("grp").agg(F.min(F.struct("kind", "trav")).alias("s"))
+    return numbered(first.select("grp", "s.kind", "s.trav"), ["kind", "trav"], "place").select("grp", "place")
+
+
+def matrix_cells(hits: DataFrame, n: int, zero: str) -> DataFrame:
+    """wid, cells: the texts of n groups, each after a tab, from hits (wid, place, text); the gaps between hits are zero."""
+    row = hits.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("row"))
+    gap = lambda a, b: F.repeat(F.lit("\t" + zero), (b - a - 1).cast("int"))
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("row"), i - 1)["place"])
+    cells = F.transform("row", lambda c, i: F.concat(gap(before(i), c["place"]), F.lit("\t"), c["text"]))
+    return row.select("wid", F.concat(F.array_join(cells, ""), gap(F.element_at("row", -1)["place"], F.lit(n))).alias("cells"))
+
+
+def output(g: PangenomeGraph, bed: DataFrame, mode: Grouping | str = Grouping.PATH, wide: bool = False, threshold: float | None = None) -> DataFrame:
+    """wid, place, line of the printed table, to be sorted by both: a header (wid -1), then windows in file order and
+    groups as first met, one line for each window (wide) or for each window and group.
+
+    The wide form is built from the groups that have a share in a window; the others' zeros are filled in the text.
+    """
+    if threshold is not None and not 0 <= threshold <= 1:
+        raise ValueError("threshold outside 0..1")
+    at, hit, members, groups = prepared(g, bed, mode, True)
+    places = group_places(g, mode)
+    text = lambda c: general(c, 5) if threshold is None else F.when(c >= threshold, "1").otherwise("0")
+    window = F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), "name")
+    head = F.lit("\t".join(WINDOW[1:]))
+    at_top = [F.lit(-1).cast("bigint").alias("wid"), F.lit(0).cast("bigint").alias("place")]
+    if not wide:
+        long = ratios(at, hit, members, g.segments, groups).join(places, "grp").join(at.select(*WINDOW), "wid")
+        top = g.segments.sparkSession.range(1).select(*at_top, F.concat_ws("\t", head, F.lit("group"), F.lit("pav")).alias("line"))
+        return top.unionByName(long.select("wid", "place", F.concat_ws("\t", window, "grp", text(F.col("pav"))).alias("line")))
+    n, zero = places.count(), "1" if threshold == 0 else "0"
+    den, num = shares(hit, members, g.segments)
+    hits = num.join(den, "wid").join(places, "grp").select("wid", "place", text(share(F.col("num"), F.col("den"))).alias("text"))
+    body = at.select(*WINDOW).join(matrix_cells(hits, n, zero), "wid", "left")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("place", "grp"))), lambda c: c["grp"])
+    top = places.agg(F.array_join(names, "\t").alias("names")).select(*at_top, F.concat_ws("\t", head, "names").alias("line"))
+    return top.unionByName(body.select("wid", F.lit(0).cast("bigint").alias("place"), F.concat(window, F.coalesce("cells", F.lit(("\t" + zero) * n))).alias("line")))

@@ -64,13 +64,20 @@ def overlap_parts(o: Column) -> tuple[Column, Column]:
     return num, F.when(none | (op == ""), F.lit(None).cast("string")).otherwise(op)
 
 
-def parsed_segments(lines: DataFrame) -> DataFrame:
-    """Segments with ids from 1 in the order in which their names first occur; of repeated names the first counts."""
+def parsed_segments(lines: DataFrame, use_ln_tag: bool = False) -> DataFrame:
+    """Segments with ids from 1 in the order in which their names first occur; of repeated names the first counts.
+
+    A segment without sequence (*) is one base long, or with use_ln_tag as long as its tag LN:i says.
+    """
     f = fields(F.col("value"))
     s = lines.where("value like 'S%'").select(F.struct(*ORDER).alias("_at"), field(f, 1).alias("name"), field(f, 2).alias("sequence"), parsed_tags(f, 3).alias("tags"))
     first = s.groupBy("name").agg(F.min(F.struct("_at", "sequence", F.map_entries("tags").alias("t"))).alias("r"))
     rows = first.select(F.col("r._at._f").alias("_f"), F.col("r._at._b").alias("_b"), F.col("r._at._m").alias("_m"), "name", F.col("r.sequence").alias("sequence"), F.map_from_entries("r.t").alias("tags"))
-    return numbered(rows, ORDER, "node_id", 1).select("node_id", "name", "sequence", F.length("sequence").cast("bigint").alias("seq_len"), "tags")
+    size = F.length("sequence").cast("bigint")
+    if use_ln_tag:
+        told = F.try_element_at("tags", F.lit("LN"))
+        size = F.when((F.col("sequence") == "*") & (told["type"] == "i"), F.coalesce(leading_int(told["value"]), size)).otherwise(size)
+    return numbered(rows, ORDER, "node_id", 1).select("node_id", "name", "sequence", size.alias("seq_len"), "tags")
 
 
 def tag_conflicts(table: DataFrame) -> DataFrame:
@@ -79,6 +86,16 @@ def tag_conflicts(table: DataFrame) -> DataFrame:
     return seen.groupBy("tag").agg(F.sort_array(F.collect_set("type")).alias("types")).where((F.size("types") > 1) | ~F.get("types", F.lit(0)).isin(*TAG_TYPES))
 
 
+def bad_floats(table: DataFrame) -> DataFrame:
+    """tag, value of floating tags that begin with no number or with one that single precision can't hold."""
+    seen = table.select(F.explode(F.map_entries("tags")).alias("e")).where("e.value.type = 'f'").select(F.col("e.key").alias("tag"), F.col("e.value.value").alias("value"))
+    number = render.leading_float(F.col("value"))
+    size = F.abs(number)
+    # fixed values: the largest number that rounds to a finite one, and the least that has full precision
+    beyond = (size < float("inf")) & ((size >= 3.4028235677973366e38) | ((size > 0) & (size < 1.1754943508222875e-38)))
+    return seen.where(number.isNull() | beyond)
+
+
 def resolve(df: DataFrame, ids: DataFrame, name: str, out: str) -> DataFrame:
     """df with the node id of the column name; rows without one go."""
     return df.join(ids.select(F.col("name").alias(name), F.col("node_id").alias(out)), name)
@@ -144,13 +161,14 @@ def parsed_header(lines: DataFrame) -> DataFrame:
     return lines.where("value like 'H%'").agg(F.max_by("value", F.struct(*ORDER)).alias("line")).where("line is not null")
 
 
-def graph_of(lines: DataFrame, strict: bool = True) -> PangenomeGraph:
+def graph_of(lines: DataFrame, strict: bool = True, use_ln_tag: bool = False) -> PangenomeGraph:
     """The graph in lines (_f, _b, _m, value). Steps, links and the like that name no segment are dropped.
 
-    With strict, tags of several types or of unknown ones raise BadGfa. Lines of other kinds are ignored.
+    With strict, tags of several types or of unknown ones, and floating tags without a number or beyond single precision,
+    raise BadGfa. Lines of other kinds are ignored.
     """
     lines = staged(lines, "lines")
-    segments = staged(parsed_segments(lines), "segments")
+    segments = staged(parsed_segments(lines, use_ln_tag), "segments")
     ids = segments.select("name", "node_id")
     links = staged(parsed_links(lines, ids), "links")
     if strict:
@@ -158,6 +176,9 @@ def graph_of(lines: DataFrame, strict: bool = True) -> PangenomeGraph:
             bad = tag_conflicts(table).limit(1).collect()
             if bad:
                 raise BadGfa(f"tag {bad[0]['tag']} has types {bad[0]['types']}")
+            odd = bad_floats(table).limit(1).collect()
+            if odd:
+                raise BadGfa(f"tag {odd[0]['tag']} has no number of single precision: {odd[0]['value']}")
     tables, steps = {}, []
     for kind, columns in RECORD.items():
         # the records are numbered without their steps, and steps carry the number alone
@@ -171,9 +192,9 @@ def graph_of(lines: DataFrame, strict: bool = True) -> PangenomeGraph:
     return PangenomeGraph(segments, steps[0].unionByName(steps[1]), tables["P"], tables["W"], links, parsed_jumps(lines, ids), parsed_containments(lines, ids), parsed_header(lines))
 
 
-def read_gfa(spark: SparkSession, path: str, strict: bool = True) -> PangenomeGraph:
+def read_gfa(spark: SparkSession, path: str, strict: bool = True, use_ln_tag: bool = False) -> PangenomeGraph:
     """A graph from one or more text files."""
-    return graph_of(lines_of(spark, path), strict)
+    return graph_of(lines_of(spark, path), strict, use_ln_tag)
 
 
 SECTIONS = {"stored": "HSLPWJC", "streamed": "HSLJCPW"}

@@ -63,3 +63,33 @@ def load(spark: SparkSession, path: str, tables: list[str] | None = None, decode
 
 def rules(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("rule_id bigint, kmer bigint, first bigint, second bigint, round int").parquet(f"{path}/rules").orderBy(F.col("rule_id"))
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files that a path or pattern names, folders with all that they hold."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(fs.getContentSummary(s.getPath()).getLength() for s in fs.globStatus(where) or [])
+
+
+def column_bytes(spark: SparkSession, path: str) -> list[tuple[str, str, int, int]]:
+    """Table, column, bytes stored and bytes before Zstd of a store, summed from the footers of its files.
+
+    Only footers are read, one after the other by the driver.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs, reader = root.getFileSystem(conf), jvm.org.apache.parquet.hadoop.ParquetFileReader
+    total: dict[tuple[str, str], list[int]] = {}
+    for name in [*SCHEMAS, "rules"]:
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/*.parquet")) or []:
+            source = reader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromStatus(status, conf))
+            try:
+                for block in source.getFooter().getBlocks():
+                    for chunk in block.getColumns():
+                        at = total.setdefault((name, chunk.getPath().toDotString()), [0, 0])
+                        at[0] += chunk.getTotalSize()
+                        at[1] += chunk.getTotalUncompressedSize()
+            finally:
+                source.close()
+    return [(*k, *v) for k, v in total.items()]

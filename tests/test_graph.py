@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from braidgraph import api, cli
 from braidgraph.functions import render
-from braidgraph.operators import extract, stats
+from braidgraph.model import SCHEMAS, PangenomeGraph
+from braidgraph.operators import extract, pav, stats
 from braidgraph.sources import appendix, bed, gfa, storage
 
 GFA = """H\tVN:Z:1.1
@@ -137,3 +138,58 @@ def test_unknown_reference(spark, folder, store, tmp_path):
     (tmp_path / "x.bed").write_text("nowhere 0 5\n")
     with pytest.raises(Exception, match="reference path not found"):
         said("pav", "-i", store, "-b", tmp_path / "x.bed")
+
+
+def test_written_lines(spark, folder, store, tmp_path):
+    """What the executors write is what is printed."""
+    (tmp_path / "w.bed").write_text("pathA 0 6 a\npathB 0 2 b\n")
+    window = ["pav", "-i", store, "-b", tmp_path / "w.bed"]
+    written = lambda d: "".join(p.read_text() for p in sorted(d.glob("part-*"))).splitlines()
+    assert said("extract-path", store, "pathB", "pathA", "-o", tmp_path / "paths") == [] and written(tmp_path / "paths") == [B, A]
+    assert said(*window, "-S", "-M", "-o", tmp_path / "table") == []
+    assert written(tmp_path / "table") == ["chrom\tstart\tend\tname\tpathA\tpathB\tsampleA\tsampleB", "pathA\t0\t6\ta\t1\t0.83333\t1\t0.83333", "pathB\t0\t2\tb\t1\t1\t1\t1"]
+
+
+def test_matrix_against_long(spark, monkeypatch):
+    """The wide text and the join beyond the bound of what is sent agree with the long table."""
+    segments = spark.range(1, 41).selectExpr("id as node_id", "string(id) as name", "repeat('A', int(id % 5)) as sequence", "id % 5 as seq_len", "map() as tags")
+    steps = spark.range(0, 300).selectExpr("'P' as kind", "id div 15 as trav", "id % 15 as pos", "1 + (id * id + id div 15) % 40 as snode")
+    g = PangenomeGraph(segments, steps, spark.range(20).selectExpr("id as trav", "concat('s', 37 * id % 20, '#1#c') as name", "'*' as overlaps"))
+    windows = spark.createDataFrame([(i, f"s{37 * t % 20}#1#c", a, a + 7, f"w{i}") for i, (t, a) in enumerate((t, a) for t in range(20) for a in (0, 9, 500))], "wid bigint, chrom string, start bigint, end bigint, name string")
+    long = {(r.wid, r.grp): r.pav for r in pav.pav(g, windows, "sample").collect()}
+    assert len(long) == 60 * 20
+    monkeypatch.setattr(pav, "SENT", 0)
+    assert {(r.wid, r.grp): r.pav for r in pav.pav(g, windows, "sample").collect()} == long
+    order = [f"s{37 * t % 20}" for t in range(20)]
+    for threshold in (None, 0.0, 0.4):
+        lines = [r.line for r in pav.output(g, windows, "sample", True, threshold).orderBy("wid", "place").collect()]
+        assert lines[0].split("\t")[4:] == order and len(lines) == 61
+        text = lambda x: "%.5g" % x if threshold is None else str(int(x >= threshold))  # noqa: B023
+        assert [x.split("\t")[3:] for x in lines[1:]] == [[f"w{w}", *(text(long[w, o]) for o in order)] for w in range(60)]
+
+
+def test_stats(spark, folder, tmp_path):
+    lines = dict(x.split("\t", 1) for x in said("compress", folder / "g.gfa", tmp_path / "s", "-r", "1", "-s") if x.count("\t") == 1)
+    assert int(lines["text_bytes"]) == len(GFA) and int(lines["stored_bytes"]) == storage.folder_bytes(spark, str(tmp_path / "s")) > 0 and {"ratio", "MiB_per_second", "seconds"} <= set(lines)
+    columns = storage.column_bytes(spark, str(tmp_path / "s"))
+    assert {("steps", "snode"), ("segments", "sequence"), ("rules", "rule_id")} <= {c[:2] for c in columns} and all(c[2] > 0 and c[3] > 0 for c in columns)
+    assert "ratio" in dict(x.split("\t", 1) for x in said("decompress", tmp_path / "s", tmp_path / "back", "-s"))
+
+
+def test_floats_and_lengths(spark, tmp_path):
+    """Floating tags are read up to where they stop being a number; LN gives lengths only where asked."""
+    (tmp_path / "g.gfa").write_text("S\ta\t*\tLN:i:12\tXF:f:1.5e1kb\nS\tb\t*\tLN:Z:7\nS\tc\tACG\tLN:i:9\n")
+    lines = gfa.lines_of(spark, str(tmp_path / "g.gfa"))
+    sizes = lambda told: [r.seq_len for r in gfa.parsed_segments(lines, told).orderBy("node_id").collect()]
+    assert sizes(False) == [1, 1, 3] and sizes(True) == [12, 1, 3]
+    g = PangenomeGraph(gfa.parsed_segments(lines), spark.createDataFrame([], SCHEMAS["steps"]))
+    assert [r.line for r in gfa.gfa_lines(g).orderBy("idx").collect()][0] == "S\ta\t*\tLN:i:12\tXF:f:15"
+    texts = ["1", "-2.50x", " +.5e2", "7.e-1", "1e", "inf", "-NaN", "infinity", "", "x1", "e5", "."]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(render.leading_float(F.col("t"))).collect()]
+    assert str(got) == str([1.0, -2.5, 50.0, 0.7, 1.0, float("inf"), float("nan"), float("inf"), None, None, None, None])
+    tags = [(t, {"XF": ("f", t)}) for t in ["x1", "1e39", "-3.5e38", "1e-46", "3.4e38", "0", "-inf", "1e-38", "5"]]
+    table = spark.createDataFrame(tags, "t string, tags map<string,struct<type:string,value:string>>")
+    assert [r.value for r in gfa.bad_floats(table).collect()] == ["x1", "1e39", "-3.5e38", "1e-46", "1e-38"]
+    (tmp_path / "g.gfa").write_text("S\ta\tA\tXF:f:x1\n")
+    with pytest.raises(gfa.BadGfa):
+        api.parse_gfa(spark, str(tmp_path / "g.gfa"))
