@@ -38,6 +38,15 @@ def varint_bytes(u: Column) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    """Bytes with a unit: B as they are, else two decimals."""
-    unit = lambda p, u: F.format_string(f"%.2f {u}", n / float(1 << p))
+    """Bytes with a unit: B as they are, else two decimals, rounded as C rounds the double n / 2^p: by the number itself, not
+    by its shortest decimal; exact halves go to the even digit."""
+    whole = n.cast("double").cast("bigint")  # beyond 2^53 the nearest double, as C divides it
+
+    def unit(p: int, u: str) -> Column:
+        part = whole.bitwiseAND(F.lit((1 << p) - 1)) * 100
+        digits, rest, half = F.shiftright(part, p), part.bitwiseAND(F.lit((1 << p) - 1)), 1 << (p - 1)
+        near = digits + F.when((rest > half) | ((rest == half) & (digits % 2 == 1)), 1).otherwise(0)
+        units = F.shiftright(whole, p) + F.when(near == 100, 1).otherwise(0)
+        return F.concat(units.cast("string"), F.lit("."), F.lpad((near % 100).cast("string"), 2, "0"), F.lit(f" {u}"))
+
     return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, unit(10, "KB")).when(n < 1 << 30, unit(20, "MB")).otherwise(unit(30, "GB"))

@@ -163,3 +163,12 @@ def test_numbering(spark):
     assert sorted((r.x, r.n) for r in rows) == [(i, i + 5) for i in range(1000)]
     assert sorted((r.x, r.t) for r in running_total(df, ["x"], "w", "t").collect()) == [(i, 2 * i) for i in range(1000)]
     assert numbered(df.where("x < 0"), ["x"], "n").count() == 0
+
+
+def test_size_texts_as_in_c(spark):
+    """Two decimals of the double itself: halves, carries, and numbers that no double holds."""
+    values = [0, 1023, 1024, 1024 + 128, 1024 + 384, 3 * 1024 + 640, (1 << 20) - 1, 1 << 20, 5 * (1 << 17), 9 * (1 << 17), 11 * (1 << 17), (1 << 30) - 1, 9 * (1 << 27), 44320966934622372, 76848042016537313, (1 << 63) - 1]
+    c = lambda n: f"{n} B" if n < 1 << 10 else next(f"{n / 2**p:.2f} {u}" for p, u in ((10, "KB"), (20, "MB"), (30, "GB")) if n < 1 << (p + 10) or p == 30)
+    rows = spark.createDataFrame([(n,) for n in values], "n bigint").select("n", packing.size_text(F.col("n")).alias("text")).collect()
+    assert {r.n: r.text for r in rows} == {n: c(n) for n in values}
+    assert spark.sql("select cast(null as bigint) as n").select(packing.size_text(F.col("n"))).first()[0] is None
