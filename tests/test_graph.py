@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidgraph import api, cli
-from braidgraph.functions import render
+from braidgraph.functions import render, staging
 from braidgraph.model import SCHEMAS, PangenomeGraph
 from braidgraph.operators import extract, pav, stats
+from braidgraph.plans.catalogue import QUERIES
 from braidgraph.sources import appendix, bed, gfa, storage
 
 GFA = """H\tVN:Z:1.1
@@ -193,3 +194,56 @@ def test_floats_and_lengths(spark, tmp_path):
     (tmp_path / "g.gfa").write_text("S\ta\tA\tXF:f:x1\n")
     with pytest.raises(gfa.BadGfa):
         api.parse_gfa(spark, str(tmp_path / "g.gfa"))
+
+
+def small_graph(spark, groups=20, steps=15, longest=5):
+    """Paths s0#1#c, s1#1#c, ... of some steps over 40 nodes, and three windows on each; the last is beyond its end."""
+    segments = spark.range(1, 41).selectExpr("id as node_id", "string(id) as name", "'A' as sequence", f"id % {longest} as seq_len", "map() as tags")
+    rows = spark.range(groups * steps).selectExpr("'P' as kind", f"id div {steps} as trav", f"id % {steps} as pos", f"1 + (id * id + id div {steps}) % 40 as snode")
+    g = PangenomeGraph(segments, rows, spark.range(groups).selectExpr("id as trav", "concat('s', id, '#1#c') as name", "'*' as overlaps"))
+    windows = [(3 * t + i, f"s{t}#1#c", a, a + 7 * longest // 5, f"w{t}.{i}") for t in range(groups) for i, a in enumerate((0, 2 * longest, 500 * longest))]
+    return g, spark.createDataFrame(windows, "wid bigint, chrom string, start bigint, end bigint, name string")
+
+
+def brute(g, windows):
+    """(wid, group) to (num, den), by loops."""
+    size = {r.node_id: r.seq_len for r in g.segments.collect()}
+    walk, hold = {}, {}
+    for r in g.steps.orderBy("trav", "pos").collect():
+        walk.setdefault(f"s{r.trav}#1#c", []).append(r.snode)
+        hold.setdefault(f"s{r.trav}", set()).add(r.snode)
+    out = {}
+    for w in windows.collect():
+        at, nodes = 0, set()
+        for v in walk[w.chrom]:
+            if w.end > at and w.start < at + size[v]:
+                nodes.add(v)
+            at += size[v]
+        out |= {(w.wid, x): (sum(size[v] for v in nodes & held), sum(size[v] for v in nodes)) for x, held in hold.items()}
+    return out
+
+
+@pytest.mark.parametrize(("groups", "longest", "few"), [(3, 5, 10), (70, 5, 10**6), (130, 5, 0), (20, 5000, 10**6)])
+def test_shares_by_brute_force(spark, monkeypatch, groups, longest, few):
+    """Fewer and more groups than a number has bits, windows in one bin and in several, tables sent and joined, several blocks."""
+    monkeypatch.setattr(staging, "FEW", few)
+    monkeypatch.setattr(pav, "BLOCK", 15 if groups > 100 else 7)
+    g, windows = small_graph(spark, groups, longest=longest)
+    want = brute(g, windows)
+    assert {(r.wid, r.grp): (r.num, r.den) for r in pav.pav(g, windows, "sample").collect()} == want
+    names = [f"s{groups - 1}", "unknown", "s0"]
+    ratio = lambda w, x: want[w, x][0] / want[w, x][1] if want[w, x][1] else 0.0
+    assert {r[0]: r[1:] for r in pav.matrix(g, windows, "sample", names).collect()} == {w: (ratio(w, names[0]), None, ratio(w, "s0")) for w in range(3 * groups)}
+    head = {r.wid: f"{r.chrom}\t{r.start}\t{r.end}\t{r.name}" for r in windows.collect()}
+    assert {(r.wid, r.grp): r.line for r in pav.pav_lines(g, windows, "sample").collect()} == {(w, x): f"{head[w]}\t{x}\t{ratio(w, x):.5g}" for w, x in want}
+
+
+@pytest.mark.parametrize("name", ["pav_long", "pav_haplotype", "pav_binary", "pav_matrix", "pav_lines"])
+def test_pairs_of_windows_and_groups_stay_where_they_are(spark, sf, name):
+    """Whatever is exchanged is exchanged before the pairs of windows and groups are made: nothing of that size is written."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert not any("grp" in x for x in joins)
+    executed = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    made = next(i for i, x in enumerate(executed) if "HashAggregate" in x or "SortAggregate" in x)
+    assert not any("Exchange" in x for x in executed[:made])
