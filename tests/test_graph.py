@@ -247,3 +247,33 @@ def test_pairs_of_windows_and_groups_stay_where_they_are(spark, sf, name):
     executed = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
     made = next(i for i, x in enumerate(executed) if "HashAggregate" in x or "SortAggregate" in x)
     assert not any("Exchange" in x for x in executed[:made])
+
+
+@pytest.mark.parametrize("name", ["pav_long", "pav_haplotype", "pav_binary", "pav_matrix", "pav_lines"])
+def test_windows_are_made_beside_the_steps(spark, sf, name):
+    """Paths are exchanged, not their windows; and of a step only its path, place and node."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    made = next(i for i, x in enumerate(plan) if "Generate explode(sequence(0" in x)
+    above = [x for i, x in enumerate(plan[:made]) if depth[i] < min(depth[i + 1 : made + 1])]
+    assert above and not any("Exchange" in x for x in above)
+    assert not any("l_shipdate" in x or "l_suppkey" in x for x in plan)
+
+
+@pytest.mark.parametrize("bin", [4_096, 3])
+def test_tiles_by_brute_force(spark, monkeypatch, bin):
+    """Windows made late are those given as rows, with all of their columns; an unknown reference raises or is left out."""
+    monkeypatch.setattr(pav, "BIN", bin)
+    g, _ = small_graph(spark)
+    rows = spark.range(20).selectExpr("id as own", "concat('s', id, '#1#c') as chrom")
+    made = lambda df: df.selectExpr("kind", "trav", "own", "chrom", "explode(sequence(0, 2)) as w").selectExpr("3 * own + w as wid", "kind", "trav", "chrom", "9L * w as start", "9L * w + 7 as end", "concat('w', w) as name")
+    tiles = pav.Tiles(rows, made)
+    windows = made(rows.selectExpr("*", "'P' as kind", "own as trav")).drop("kind", "trav")
+    want, shown = brute(g, windows), {r.wid: (r.chrom, r.start, r.end, r.name) for r in windows.collect()}
+    assert {(r.wid, r.grp): (r.chrom, r.start, r.end, r.name, r.num, r.den) for r in pav.pav(g, tiles, "sample").collect()} == {k: (*shown[k[0]], *v) for k, v in want.items()}
+    line = lambda bed: sorted(r.line for r in pav.pav_lines(g, bed, "sample").collect())
+    assert line(tiles) == line(windows)
+    odd = pav.Tiles(rows.unionByName(spark.sql("select 99L as own, 'x' as chrom")), made)
+    with pytest.raises(pav.UnknownReference):
+        pav.pav(g, odd, "sample")
+    assert pav.pav(g, odd, "sample", strict=False).count() == len(want)
