@@ -272,7 +272,10 @@ def test_tiles_by_brute_force(spark, monkeypatch, bin):
     want, shown = brute(g, windows), {r.wid: (r.chrom, r.start, r.end, r.name) for r in windows.collect()}
     assert {(r.wid, r.grp): (r.chrom, r.start, r.end, r.name, r.num, r.den) for r in pav.pav(g, tiles, "sample").collect()} == {k: (*shown[k[0]], *v) for k, v in want.items()}
     line = lambda bed: sorted(r.line for r in pav.pav_lines(g, bed, "sample").collect())
-    assert line(tiles) == line(windows)
+    texts = sorted("\t".join(map(str, (*shown[w], x, "%.5g" % (a / b if b else 0)))) for (w, x), (a, b) in want.items())
+    assert line(tiles) == line(windows) == texts
+    monkeypatch.setattr(pav, "KNOWN", 5)  # shares from the table and others, in one run
+    assert line(tiles) == texts
     odd = pav.Tiles(rows.unionByName(spark.sql("select 99L as own, 'x' as chrom")), made)
     with pytest.raises(pav.UnknownReference):
         pav.pav(g, odd, "sample")
