@@ -1,6 +1,7 @@
 """Golden texts: reading, storing, extraction, appending, windows, through the command line and the functions."""
 
 import io
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -280,3 +281,22 @@ def test_tiles_by_brute_force(spark, monkeypatch, bin):
     with pytest.raises(pav.UnknownReference):
         pav.pav(g, odd, "sample")
     assert pav.pav(g, odd, "sample", strict=False).count() == len(want)
+
+
+@pytest.mark.parametrize("groups", [20, 70])
+def test_bits_in_passes(spark, monkeypatch, groups):
+    """Many steps: each pass stages nodes of its own, and the passes' nodes are all nodes, once each."""
+    parts, real = [], pav.staged
+
+    def kept(df, name="part", *rest):
+        parts.append((name, real(df, name, *rest)))
+        return parts[-1][1]
+
+    monkeypatch.setattr(pav, "MANY", groups)
+    monkeypatch.setattr(pav, "staged", kept)
+    g, windows = small_graph(spark, groups)
+    assert {(r.wid, r.grp): (r.num, r.den) for r in pav.pav(g, windows, "sample").collect()} == brute(g, windows)
+    seen = [{r.node_id for r in df.collect()} for name, df in parts if name == "bits"]
+    assert len(seen) == pav.PASSES > 1 and all(seen)
+    assert sum(map(len, seen)) == len(set().union(*seen)) == g.steps.select("snode").distinct().count()
+    assert not os.path.exists(dict(parts)["places"]._braid_path)  # needed until the last pass
