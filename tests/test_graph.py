@@ -300,3 +300,19 @@ def test_bits_in_passes(spark, monkeypatch, groups):
     assert len(seen) == pav.PASSES > 1 and all(seen)
     assert sum(map(len, seen)) == len(set().union(*seen)) == g.steps.select("snode").distinct().count()
     assert not os.path.exists(dict(parts)["places"]._braid_path)  # needed until the last pass
+
+
+@pytest.mark.parametrize("name", ["pav_long", "pav_haplotype", "pav_binary", "pav_matrix", "pav_lines"])
+def test_tiles_and_names_are_staged_one_after_the_other(spark, sf, monkeypatch, name):
+    """The step that resolves tiles exchanges two lists, not what they are made of as well; they are gone afterwards."""
+    parts, real = {}, pav.staged
+    monkeypatch.setattr(pav, "staged", lambda df, name="part", *rest: parts.setdefault(name, (df, real(df, name, *rest)))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        QUERIES[name](spark, sf)
+        plan = parts["windows"][0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange ") == 2 and "lineitem" not in plan and "orders" not in plan
+    assert not any(os.path.exists(parts[x][1]._braid_path) for x in ("tiles", "names"))
