@@ -316,3 +316,56 @@ def test_tiles_and_names_are_staged_one_after_the_other(spark, sf, monkeypatch,
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange ") == 2 and "lineitem" not in plan and "orders" not in plan
     assert not any(os.path.exists(parts[x][1]._braid_path) for x in ("tiles", "names"))
+
+
+def sent_rows(df):
+    """Rows of each table that was sent to all tasks when df was collected."""
+    todo, out = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        x = todo.pop()
+        kind = x.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(x.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(x.plan())
+        elif kind == "BroadcastExchangeExec":
+            out.append(x.metrics().apply("numOutputRows").value())
+        todo += [x.children().apply(i) for i in range(x.children().size())]
+    return out
+
+
+@pytest.mark.parametrize("name", ["pav_long", "pav_haplotype", "pav_binary", "pav_matrix", "pav_lines"])
+def test_tables_of_nodes_are_sent_in_packs(spark, sf, monkeypatch, name):
+    """The driver collects and sends what has one row a node as a few rows of arrays; rows are those of tables sent as they are."""
+    known = pav.known(spark, lambda c: c).count()
+    want = sorted(map(str, QUERIES[name](spark, sf).collect()))
+    monkeypatch.setattr(staging, "ROWS", 50)
+    made = QUERIES[name](spark, sf)
+    assert sorted(map(str, made.collect())) == want
+    sent = [n for n in sent_rows(made) if n != known]
+    assert len(sent) >= 2 and max(sent) <= 2  # sizes and bits of 200 nodes
+
+
+@pytest.mark.parametrize("groups", [20, 70])
+def test_packs_by_brute_force(spark, monkeypatch, groups):
+    """Fewer and more groups than a number has bits, packs shorter than the nodes."""
+    monkeypatch.setattr(staging, "ROWS", 0)
+    monkeypatch.setattr(staging, "PACK", 8)
+    g, windows = small_graph(spark, groups)
+    assert {(r.wid, r.grp): (r.num, r.den) for r in pav.pav(g, windows, "sample").collect()} == brute(g, windows)
+
+
+@pytest.mark.parametrize(("ids", "packed"), [("id", True), ("id - 40", True), ("3 * id", True), ("1000 * id", False), ("id div 2", False), ("if(id = 7, null, id)", True)])
+def test_lookup(spark, monkeypatch, ids, packed):
+    """Packed or not, a lookup is the join: of gaps, negative, far, repeated and null keys, and null values."""
+    monkeypatch.setattr(staging, "ROWS", 0)
+    monkeypatch.setattr(staging, "PACK", 16)
+    monkeypatch.setattr(staging, "FEW", 400)
+    table = spark.range(100).selectExpr(f"{ids} as k", "if(id % 9 = 0, null, id * id) as v", "0 as other")
+    rows = spark.range(-60, 400).selectExpr("if(id = 5, null, id) as k", "string(id) as x")
+    found = staging.Lookup.of(table, ["k"], "v")
+    assert found.packed == packed
+    for how in ("inner", "left"):
+        want = rows.join(table.select("k", "v"), "k", how).select("k", "x", "v")
+        key = lambda df: sorted(map(str, df.select("k", "x", "v").collect()))
+        assert key(found.join(rows, how)) == key(want)
